@@ -48,6 +48,14 @@ def _lines(text: bytes) -> list[bytes]:
     return [x + b"\n" for x in parts[:-1]] + ([parts[-1]] if parts[-1] else [])
 
 
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """What is left of a text without some spans that don't overlap."""
+    if not len(starts):
+        return text
+    o = np.argsort(starts)
+    return b"".join([text[x:y] for x, y in zip([0, *ends[o].tolist()], [*starts[o].tolist(), len(text)], strict=True)])
+
+
 def repeated_chunks(docs: DataFrame, every: int = 3, bucket_bytes: int = 32 << 20, chunk: int = 4 << 20) -> DataFrame:
     """Spans (in bytes) of ``docs`` (doc_id, text, th): chunks of several lines but for their first occurrence."""
     parts = parts_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0, bucket_bytes)
@@ -121,10 +129,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 t = text[i].as_buffer().to_pybytes() if text[i].is_valid else None
                 s, e = repeats.span_arrays(spans, i)
                 n.append(t.count(b"\n") + (not t.endswith(b"\n")) if t else 0)
-                if t is not None and len(s):
-                    o = np.argsort(s)
-                    cuts = list(zip(s[o].tolist(), e[o].tolist(), strict=True))
-                    t = b"".join([t[x:y] for x, y in zip([0, *(y for _, y in cuts)], [*(x for x, _ in cuts), len(t)], strict=True)])
+                if t is not None:
+                    t = _cut(t, s, e)
                 gone.append(n[-1] - (t.count(b"\n") + (not t.endswith(b"\n")) if t else 0))
                 kept.append(t)
             yield pa.RecordBatch.from_arrays(
@@ -136,6 +142,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return repeats.with_spans(table, spans).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept string, th long")
 
 
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:
+    """The rows and columns of ``docs`` with the texts that ``dedup_lines`` leaves. No row goes."""
+    rest = [c for c in docs.columns if c != text_col]
+    table = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text, spans = b.column(0), b.column(1)
+            kept = []
+            for i in range(b.num_rows):
+                s, e = repeats.span_arrays(spans, i)
+                kept.append(_cut(text[i].as_buffer().to_pybytes(), s, e) if text[i].is_valid else None)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), b.column(2)], ["text", "rest"])
+
+    met = repeats.with_spans(table, repeated_chunks(table, every).distinct()).select("text", "spans", "rest")
+    out = met.mapInArrow(run, f"text string, rest {table.schema['rest'].dataType.simpleString()}")
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``n_lines``, ``n_removed``, ``kept_sha256`` (null text: of '')."""
     out = dedup_lines(docs)

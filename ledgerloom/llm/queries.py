@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import line_dedup, simhash, substring_dedup, suffix_dedup
+from ledgerloom.llm import (
+    line_dedup, mixing, nearest, pieces, rarity, sharding, simhash, substring_dedup, suffix_dedup, toxicity,
+)
+
+#: The tokenizer's file; a parameter, never copied into the repository.
+PIECES = "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,8 +36,43 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(_documents(spark, sf_dir))
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_documents(spark, sf_dir))
+
+
+def op4_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_rarity_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rarity.digest(_documents(spark, sf_dir))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_documents(spark, sf_dir), model_path())
+
+
+def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(_documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def model_path(name: str = PIECES) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_line_dedup, op5_suffix_array_dedup, op10_substring_dedup)
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup, op2_line_dedup, op3_mix_sources, op4_multiprobe_nearest, op5_suffix_array_dedup,
+        op6_rarity_fingerprints, op7_sentencepiece, op8_label_propagation_shards, op9_toxicity, op10_substring_dedup,
+    )
 }
 
-ORACLE: dict[str, str] = {}
+#: The others are tested against brute force, round trips or held-out labels.
+ORACLE: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}

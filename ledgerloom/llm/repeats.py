@@ -171,16 +171,14 @@ def deal(
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, th) with ``spans``: an array of (span_start, span_end), or null.
+    """``docs`` (doc_id, text, th and others) with ``spans``: an array of (span_start, span_end), or null.
 
     A document's spans are no more than its text has room for.
     """
     grouped = spans.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(
         F.collect_list(F.struct("span_start", "span_end")).alias("spans")
     )
-    return docs.join(grouped, docs.doc_id.eqNullSafe(grouped.d) & docs.th.eqNullSafe(grouped.t), "left").select(
-        "doc_id", "text", "th", "spans"
-    )
+    return docs.join(grouped, docs.doc_id.eqNullSafe(grouped.d) & docs.th.eqNullSafe(grouped.t), "left").drop("d", "t")
 
 
 def span_arrays(column: pa.ListArray, i: int) -> tuple[np.ndarray, np.ndarray]:

@@ -270,3 +270,16 @@ def near_duplicates(
     return table.join(by_fp, table.fp == by_fp.f).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` that bear the smallest ``doc_id`` of their component, columns as they are.
+
+    Of rows that repeat such a ``doc_id`` one stays. Rows without a ``doc_id`` stay if the component of
+    any such row has none.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col, shingle, max_bits))
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates([id_col])
