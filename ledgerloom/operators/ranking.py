@@ -13,23 +13,41 @@ from ledgerloom.functions import exprs as X
 FRACTIONS = (0.01, 0.05, 0.10, 0.25)
 
 
-def head_sums(rows: DataFrame, order: list[Column], n: int, sums: dict[str, str], fractions: tuple[float, ...] = FRACTIONS, cells: int = 4096) -> DataFrame:
+def head_sums(
+    rows: DataFrame, largest: str, order: list[Column], n: int, sums: dict[str, str], fractions: tuple[float, ...] = FRACTIONS, cells: int = 256
+) -> DataFrame:
     """For each fraction: how many rows it is (rounded up, 1 to n) and what the first so many sum to.
 
-    Rows are range-partitioned by ``order`` and summed per partition; a running sum over the few
-    partitions tells where each head ends, so no task sees all rows.
+    ``order`` begins with ``largest`` descending. Splitters of it cut the rows into ``cells``; cells
+    are summed where rows lie, and a head is its whole cells and the beginning of one more. Only the
+    cells that a head ends in are sorted.
     """
     spark = rows.sparkSession
-    parts = max(1, min(cells, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ks = [(f, min(max(math.ceil(f * n), 1), n)) for f in fractions]
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    ranked = dealt.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    sizes = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(F.col("_part").alias("_p"), (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
-    placed = ranked.join(starts, F.col("_part") == F.col("_p")).withColumn("_rank", F.col("_start") + F.col("_in"))
-    wanted = F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).cast("long").alias("requests")) for f, k in ks])
-    flat = placed.withColumn("_f", F.explode(wanted)).where(F.col("_rank") <= F.col("_f.requests"))
-    return flat.groupBy("_f.fraction", "_f.requests").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+    names = list(sums)
+    schema = "fraction double, requests long, " + ", ".join(f"{k} {rows.select(F.sum(c)).dtypes[0][1]}" for k, c in sums.items())
+    if not n:
+        return spark.createDataFrame([], schema)
+    found = rows.agg(F.percentile_approx(largest, F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10_000))).head()[0]
+    bounds = F.array(*[F.lit(x) for x in sorted(set(found), reverse=True)])
+    placed = rows.withColumn("_cell", F.size(F.filter(bounds, lambda b: b > F.col(largest))))
+    per = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(k) for k, c in sums.items()]).orderBy("_cell").collect()
+    parts, ends = [], []
+    for f in fractions:
+        left = k = min(max(math.ceil(f * n), 1), n)
+        for r in per:
+            if r._n > left:
+                ends.append((f, k, r._cell, left))
+                break
+            parts.append((f, k, *(r[x] for x in names)))
+            left -= r._n
+    whole = spark.createDataFrame(parts, schema)
+    if ends := [x for x in ends if x[3]]:
+        wanted = F.filter(F.array(*[F.struct(F.lit(f).alias("fraction"), F.lit(k).cast("long").alias("requests"), F.lit(c).alias("c"), F.lit(m).alias("m")) for f, k, c, m in ends]),
+                          lambda x: x["c"] == F.col("_cell"))
+        ranked = placed.where(F.col("_cell").isin([c for _, _, c, _ in ends])).withColumn("_rank", F.row_number().over(W.partitionBy("_cell").orderBy(*order)))
+        rest = ranked.withColumn("_f", F.explode(wanted)).where(F.col("_rank") <= F.col("_f.m"))
+        whole = whole.unionByName(rest.groupBy("_f.fraction", "_f.requests").agg(*[F.sum(c).alias(k) for k, c in sums.items()]))
+    return whole.groupBy("fraction", "requests").agg(*[F.sum(k).alias(k) for k in names])
 
 
 def bursts(rows: DataFrame, keys: list[str], ts: str, gap_s: int = 15, least: int = 5, aggs: list[Column] = ()) -> DataFrame:
@@ -38,13 +56,14 @@ def bursts(rows: DataFrame, keys: list[str], ts: str, gap_s: int = 15, least: in
     Gaps and islands: a row opens an island when the gap to the one before is larger.
     """
     order = W.partitionBy(*keys).orderBy(ts)
-    opens = (F.unix_seconds(ts) - F.lag(F.unix_seconds(ts)).over(order) > gap_s)
+    seconds = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    opens = seconds(ts) - F.lag(seconds(ts)).over(order) > gap_s
     marked = rows.where(F.col(ts).isNotNull()).withColumn("_open", F.coalesce(opens, F.lit(True)).cast("int"))
     runs = marked.withColumn("_run", F.sum("_open").over(order.rowsBetween(W.unboundedPreceding, 0)))
     out = runs.groupBy(*keys, "_run").agg(
         F.min(ts).alias("start"), F.max(ts).alias("end"), F.count(F.lit(1)).alias("requests"), *aggs
     ).where(F.col("requests") >= least)
-    return out.withColumn("span_seconds", F.unix_seconds("end") - F.unix_seconds("start")).drop("_run")
+    return out.withColumn("span_seconds", seconds("end") - seconds("start")).drop("_run")
 
 
 def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:

@@ -159,7 +159,7 @@ def anomalies(books: Books, top: int = 15, gap_s: int = 15, least: int = 5) -> R
     t = totals.head()
     order = [F.desc("tokens"), F.desc("cost0"), F.asc("session_id"), F.asc_nulls_first("request_id"), F.asc("file_id"), F.asc("first_seq")]
     tokens, cost = F.lit(t.tokens), F.lit(t.cost_usd)
-    head = ranking.head_sums(reqs, order, t.requests, {"tokens": "tokens", "micro": "micro_usd"})
+    head = ranking.head_sums(reqs, "tokens", order, t.requests, {"tokens": "tokens", "micro": "micro_usd"})
     concentration = head.select(
         "fraction", "requests", "tokens", F.coalesce(usd(F.col("micro")), F.lit(0.0)).alias("cost_usd"), X.share(F.col("tokens"), tokens).alias("token_share"),
         X.share_or_null(F.coalesce(usd(F.col("micro")), F.lit(0.0)), cost).alias("cost_share"),
