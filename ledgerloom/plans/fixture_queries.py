@@ -1,0 +1,113 @@
+"""Reports over small invented logs; the SQL holds the numbers that they must come to."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.plans import fixtures as X
+from ledgerloom.plans import reports as R
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE: dict[str, str] = {}
+USD = lambda c="cost_usd": F.round(c, 9).alias(c)
+
+
+def query(columns: str, *rows: tuple) -> Callable[[Query], Query]:
+    """The result that must come out, row by row."""
+    lit = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT"
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLE[f.__name__] = f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) t({columns})"
+        return f
+
+    return add
+
+
+@query("requests, input, output, cache_creation, cache_read, incomplete_requests, unpriced_requests, cost_usd", (6, 5600, 980, 500, 11000, 2, 0, 0.031925))
+def fixture_summary_totals(spark: SparkSession, d: str) -> DataFrame:
+    got = R.summary(R.Books.open(X.logs(spark, "claude-code", X.SPEND)))["totals"]
+    return got.select("requests", "input", "output", "cache_creation", "cache_read", "incomplete_requests", "unpriced_requests", USD())
+
+
+@query("requests, input, output, duplicates", (2, 1000, 240, 0))
+def fixture_summary_since(spark: SparkSession, d: str) -> DataFrame:
+    got = R.summary(R.Books.open(X.logs(spark, "claude-code", X.SPEND), since="2026-06-02"))
+    return got["totals"].crossJoin(got["dedup"]).select("requests", "input", "output", F.col("duplicate_lines_collapsed").alias("duplicates"))
+
+
+@query("id, requests, input, sub_agents, sub_agent_tokens", ("parent-0001", 4, 4600, 1, 1300), ("other-0002", 2, 1000, 0, 0))
+def fixture_summary_sessions(spark: SparkSession, d: str) -> DataFrame:
+    got = R.summary(R.Books.open(X.logs(spark, "claude-code", X.SPEND)))["by_session"]
+    return got.select("id", "requests", "input", "sub_agents", "sub_agent_tokens")
+
+
+@query("duplicates, naive, known, thinking, encrypted", (2, 30850, 18080, 1, 0))
+def fixture_dedup_stats(spark: SparkSession, d: str) -> DataFrame:
+    got = R.summary(R.Books.open(X.logs(spark, "claude-code", X.SPEND)))["dedup"]
+    return got.select(
+        F.col("duplicate_lines_collapsed").alias("duplicates"), F.col("naive_known_tokens").alias("naive"), F.col("known_tokens").alias("known"),
+        F.col("requests_with_thinking").alias("thinking"), F.col("requests_with_encrypted_thinking").alias("encrypted"))
+
+
+@query("metric, total", ("tokens", 18080), ("cost", 31925))
+def fixture_flame_totals(spark: SparkSession, d: str) -> DataFrame:
+    books = R.Books.open(X.logs(spark, "claude-code", X.SPEND))
+    parts = [R.flame(books, m)["header"].select(F.lit(m).alias("metric"), "total") for m in ("tokens", "cost")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "fraction, requests, tokens, token_share", (0.01, 1, 205300, 205300 / 257520), (0.05, 1, 205300, 205300 / 257520), (0.1, 1, 205300, 205300 / 257520), (0.25, 3, 225600, 225600 / 257520)
+)
+def fixture_concentration(spark: SparkSession, d: str) -> DataFrame:
+    got = R.anomalies(R.Books.open(X.logs(spark, "claude-code", X.ANOMALY)))["concentration"]
+    return got.select("fraction", "requests", "tokens", "token_share")
+
+
+@query("requests, tokens, span_seconds, cost_usd", (5, 50750, 18, 0.02025))
+def fixture_storms(spark: SparkSession, d: str) -> DataFrame:
+    return R.anomalies(R.Books.open(X.logs(spark, "claude-code", X.ANOMALY)))["storms"].select("requests", "tokens", "span_seconds", USD())
+
+
+@query("id, task_type, requests, tokens", ("feature-0002", "FeatureWork", 2, 5000), ("debug-0001", "Debugging", 2, 2500), ("explore-0003", "Exploration", 3, 2410), ("plain-0004", "Unknown", 1, 150))
+def fixture_classify(spark: SparkSession, d: str) -> DataFrame:
+    return R.classify(R.Books.open(X.logs(spark, "claude-code", X.KINDS)))["sessions"].select("id", "task_type", "requests", "tokens")
+
+
+@query("peak_fill, final_fill, startup_overhead, compactions", (19100, 19100, 18020, 1))
+def fixture_context_sessions(spark: SparkSession, d: str) -> DataFrame:
+    got = R.context(R.Books.open(X.logs(spark, "claude-code", X.CONTEXT)))["sessions"]
+    return got.select("peak_fill", "final_fill", "startup_overhead", "compactions")
+
+
+@query("server, calls, call_bytes, result_chars", ("acme-db", 1, 14, 606), ("(built-in)", 1, 26, 286), ("github", 1, 16, 156))
+def fixture_context_servers(spark: SparkSession, d: str) -> DataFrame:
+    return R.context(R.Books.open(X.logs(spark, "claude-code", X.CONTEXT)))["servers"].select("server", "calls", "call_bytes", "result_chars")
+
+
+@query("requests, input, output, cache_read, unpriced_requests, naive, thinking, compactions, skipped", (4, 5100, 950, 1700, 4, 7900, 2, 1, 2))
+def fixture_codex(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(spark, "codex", X.CODEX)
+
+
+@query("requests, input, output, cache_read, unpriced_requests, naive, thinking, compactions, skipped", (2, 900, 80, 1300, 2, 2360, 1, 0, 2))
+def fixture_gemini(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(spark, "gemini", X.GEMINI)
+
+
+@query("requests, input, output, cache_read, unpriced_requests, naive, thinking, compactions, skipped", (0, 0, 0, 0, 0, 0, 0, 0, 2))
+def fixture_copilot(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(spark, "copilot", X.COPILOT)
+
+
+def _totals(spark: SparkSession, agent: str, files: dict[str, str]) -> DataFrame:
+    got = R.summary(R.Books.open(X.logs(spark, agent, files)))
+    one = got["totals"].crossJoin(got["dedup"]).crossJoin(got["compactions"]).crossJoin(got["health"])  # a row each
+    return one.select(
+        "requests", "input", "output", "cache_read", "unpriced_requests", F.col("naive_known_tokens").alias("naive"),
+        F.col("requests_with_thinking").alias("thinking"), "compactions", F.col("skipped_lines").alias("skipped"))

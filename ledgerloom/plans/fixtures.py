@@ -1,0 +1,168 @@
+"""Small invented logs of each source, as text. Tests and fixture queries read them."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.sources.base import Logs, split_lines
+from ledgerloom.sources.registry import by_id
+
+A, B = "claude-sonnet-4-5-20250929", "claude-haiku-4-5-20251001"
+
+
+def _usage(i: int, o: int, w: int | None = None, r: int | None = None, split: tuple | None = None) -> dict:
+    u = {"input_tokens": i, "output_tokens": o, "cache_creation_input_tokens": w, "cache_read_input_tokens": r}
+    if split:
+        u["cache_creation"] = {"ephemeral_5m_input_tokens": split[0], "ephemeral_1h_input_tokens": split[1]}
+    return {k: v for k, v in u.items() if v is not None}
+
+
+def _said(ts: str, rid: str | None, model: str, content: list | str, usage: dict | None) -> dict:
+    message = {"model": model, "content": content} | ({"usage": usage} if usage else {})
+    return {"type": "assistant", "timestamp": f"2026-{ts}Z", "isSidechain": False, "message": message} | ({"requestId": rid} if rid else {})
+
+
+def _user(ts: str, content: list | str, **more: object) -> dict:
+    return {"type": "user", "timestamp": f"2026-{ts}Z", "message": {"content": content}} | more
+
+
+def _text(s: str) -> list:
+    return [{"type": "text", "text": s}]
+
+
+def _tool(i: str, name: str, **inputs: object) -> list:
+    return [{"type": "tool_use", "id": i, "name": name, "input": inputs}]
+
+
+def _result(ts: str, i: str, content: str) -> dict:
+    return _user(ts, [{"type": "tool_result", "tool_use_id": i, "content": content}])
+
+
+def _lines(rows: list) -> str:
+    return "\n".join(r if isinstance(r, str) else json.dumps(r, ensure_ascii=False, separators=(",", ":")) for r in rows) + "\n"
+
+
+def _deferred(ts: str, kind: str, **payload: object) -> dict:
+    return {"type": "attachment", "timestamp": f"2026-{ts}Z", "attachment": {"type": kind} | payload}
+
+
+_U1 = {"w": 300, "r": 5000, "split": (300, 0)}
+SPEND = {
+    "/x/projects/app/parent-0001.jsonl": _lines([
+        {"type": "summary", "summary": "invented"},
+        _user("06-01T10:00:00", "Please add a health check to the service."),
+        _said("06-01T10:00:05", "r1", A, _text("First I read the router."), _usage(1000, 50, **_U1)),
+        _said("06-01T10:00:06", "r1", A, _tool("t1", "Read", file_path="/srv/router.py"), _usage(1000, 120, **_U1)),
+        _said("06-01T10:00:07", "r1", A, _tool("t2", "mcp__github__search_issues", query="health"), _usage(1000, 200, **_U1)),
+        _result("06-01T10:00:08", "t1", "def route(): ..."),
+        _said("06-01T10:01:00", "r2", A, _tool("t3", "Agent", description="Look at errors", subagent_type="general"), _usage(1200, 80, 0, 6000, (0, 0))),
+        "", _result("06-01T10:02:00", "t3", "two bare excepts"),
+        _said("06-01T10:03:00", "r4", A, [{"type": "thinking", "thinking": "hm " * 40}, *_text("Done.")], _usage(1500, 60)),
+        {"type": "system", "subtype": "compact_boundary", "content": "compacted", "timestamp": "2026-06-01T10:04:00Z"},
+        {"type": "mode", "mode": "normal"}, '{"type":"assistant","message":{"role":', {"type": "something-new"},
+    ]),
+    "/x/projects/app/parent-0001/subagents/agent-1.jsonl": _lines([
+        _user("06-01T10:01:05", "Look at the error handling."), _said("06-01T10:01:30", "r3", A, _text("Two bare excepts."), _usage(900, 400, 0, 0, (0, 0))),
+    ]),
+    "/x/projects/blog/other-0002.jsonl": _lines([
+        _user("06-02T09:00:00", "Draft a post."), _said("06-02T09:00:05", "b1", B, _text("An outline."), _usage(400, 90)),
+        _said("06-02T09:05:00", "b2", B, _tool("t9", "Bash", command="ls"), _usage(600, 150, 200, 0, (0, 200))),
+    ]),
+}
+CONTEXT = {
+    "/x/projects/web/ctx-0001.jsonl": _lines([
+        _deferred("06-10T08:00:00", "deferred_tools_delta", addedNames=[f"tool{i}" for i in range(12)], addedLines=["tool"] * 12),
+        _deferred("06-10T08:00:00", "skill_listing", skillCount=5, content="five skills"),
+        _deferred("06-10T08:00:00", "mcp_instructions_delta", addedBlocks=[{"server": "github"}]),
+        _user("06-10T08:00:01", "Sync the issues into the database."),
+        _said("06-10T08:00:02", "c1", A, _tool("k1", "mcp__github__list_issues", state="open"), _usage(20, 40, 18000, 0, (18000, 0))), _result("06-10T08:00:03", "k1", "i" * 100),
+        _said("06-10T08:00:04", "c2", A, _tool("k2", "Read", file_path="schema.sql"), _usage(500, 120, 200, 18000, (200, 0))), _result("06-10T08:00:05", "k2", "s" * 230),
+        _said("06-10T08:00:06", "c3", A, _tool("k3", "mcp__acme-db__bulk_insert", rows=[1, 2]), _usage(300, 200, 100, 18000, (100, 0))), _result("06-10T08:00:07", "k3", "d" * 550),
+        _said("06-10T08:00:08", "c4", A, [{"type": "thinking", "thinking": "t" * 300}, *_text("All synced.")], _usage(300, 900, 100, 18700, (100, 0))),
+        _user("06-10T08:00:09", "earlier talk", isCompactSummary=True),
+    ]),
+}
+ANOMALY = {
+    "/x/projects/hot/burst-0001.jsonl": _lines([
+        *[_said(f"06-05T10:00:{s:02d}", f"s{i}", A, _text("retry"), _usage(100, 50, 0, 10000)) for i, s in enumerate((0, 5, 10, 14, 18))],
+        _said("06-05T10:05:00", "dup", A, _text("a"), _usage(200, 30, 0, 1000)), _said("06-05T10:05:01", "dup", A, _text("b"), _usage(200, 80, 0, 1000)),
+        _said("06-05T11:00:00", "big", A, _text("big"), _usage(5000, 300, 200000, 0, (200000, 0))),
+        _said("06-05T12:00:00", "f1", A, _text("f"), _usage(50, 20, 0, 0)), _said("06-05T13:00:00", "f2", A, _text("f"), _usage(80, 40, 0, 0)),
+    ]),
+}
+KINDS = {
+    "/x/projects/k/debug-0001.jsonl": _lines([
+        _user("06-10T10:00:00", "Fix this bug: the parser fails with an error"),
+        _said("06-10T10:00:01", "d0", A, [*_tool("a", "Read", p=1), *_tool("b", "Bash", c=1), *_tool("c", "Edit", e=1)], _usage(1000, 200, 0, 0)),
+        _said("06-10T10:01:00", "d1", A, _text("a"), _usage(1000, 100, 0, 0)), _said("06-10T10:01:01", "d1", A, _text("b"), _usage(1000, 300, 0, 0)),
+    ]),
+    "/x/projects/k/feature-0002.jsonl": _lines([
+        _user("06-10T11:00:00", "Implement a new feature and create its page"),
+        _said("06-10T11:00:01", "f0", A, [*_tool("a", "Write", p=1), *_tool("b", "Edit", c=1)], _usage(2000, 500, 0, 0)), _said("06-10T11:01:00", "f1", A, _text("ok"), _usage(2000, 500, 0, 0)),
+    ]),
+    "/x/projects/k/explore-0003.jsonl": _lines([
+        _user("06-10T12:00:00", "Review and explain the scheduler"),
+        _said("06-10T12:00:01", "e0", A, [*_tool("a", "Grep", p=1), *_tool("b", "Glob", c=1)], _usage(800, 100, 0, 0)), _said("06-10T12:01:00", "e1", A, _text("ok"), _usage(900, 60, 0, 0)),
+    ]),
+    "/x/projects/k/explore-0003/subagents/agent-2.jsonl": _lines([_said("06-10T12:00:30", "e2", A, _text("sub"), _usage(500, 50, 0, 0))]),
+    "/x/projects/k/plain-0004.jsonl": _lines([_user("06-09T12:00:00", "ok, go on"), _said("06-09T12:00:01", "p0", A, _text("ok"), _usage(100, 50, 0, 0))]),
+}
+
+
+def _codex(ts: str, kind: str, **payload: object) -> dict:
+    return {"timestamp": f"2026-{ts}Z", "type": kind, "payload": payload}
+
+
+def _spent(ts: str, i: int, c: int, o: int, r: int) -> dict:
+    last = {"input_tokens": i, "cached_input_tokens": c, "output_tokens": o, "reasoning_output_tokens": r, "total_tokens": i + o}
+    return _codex(ts, "event_msg", type="token_count", info={"last_token_usage": last, "total_token_usage": {"input_tokens": 10**6}})
+
+
+CODEX = {
+    "/x/sessions/2026/06/15/rollout-main.jsonl": _lines([
+        _codex("06-15T10:00:00", "session_meta", id="1", cwd="/home/dev/app"), _codex("06-15T10:00:01", "turn_context", model="gpt-5.5"),
+        _codex("06-15T10:00:03", "response_item", type="message", role="user", content=[{"type": "input_text", "text": "Add it."}]),
+        _spent("06-15T10:00:06", 1000, 0, 200, 50), _codex("06-15T10:00:07", "response_item", type="function_call", name="shell", call_id="c1", arguments='{"cmd":"ls"}'),
+        _spent("06-15T10:00:09", 2000, 500, 300, 100), _codex("06-15T10:00:10", "response_item", type="function_call", name="mcp__acme-db__query", call_id="c2", arguments="{}"),
+        _codex("06-15T10:00:11", "event_msg", type="mcp_tool_call_end", call_id="c2", invocation={"server": "acme-db", "tool": "query"}),
+        _spent("06-15T10:00:14", 3000, 1000, 500, 0), _codex("06-15T10:00:15", "event_msg", type="context_compacted"),
+        _codex("06-15T10:00:16", "event_msg", type="token_count", info=None), {"timestamp": "x", "type": "unheard-of", "payload": {}},
+    ]),
+    "/x/archived_sessions/rollout-old.jsonl": _lines([_codex("06-14T09:00:01", "turn_context", model="gpt-5.5-codex"), _spent("06-14T09:00:05", 800, 200, 100, 0)]),
+}
+GEMINI = {
+    "/x/tmp/demo/chats/session-1.jsonl": _lines([
+        {"sessionId": "s", "projectHash": "p", "startTime": "2026-06-17T10:00:00Z", "kind": "main"}, {"$set": {"a": 1}},
+        {"id": "u1", "timestamp": "2026-06-17T10:00:01Z", "type": "user", "content": [{"text": "summarize the build"}]},
+        {"id": "g1", "timestamp": "2026-06-17T10:00:02Z", "type": "gemini", "content": "", "model": "gemini-3", "tokens": {"input": 1000, "cached": 200, "output": 50, "thoughts": 80}},
+        {"id": "g1", "timestamp": "2026-06-17T10:00:02Z", "type": "gemini", "content": "Looking.", "model": "gemini-3", "tokens": {"input": 1000, "cached": 200, "output": 50, "thoughts": 80},
+         "thoughts": [{"subject": "Plan", "description": "query the rows"}], "toolCalls": [{"id": "tc1", "name": "mcp__acme-db__query", "args": {"q": 1}}]},
+        {"id": "u2", "timestamp": "2026-06-17T10:00:03Z", "type": "user", "content": [{"functionResponse": {"id": "tc1", "name": "q", "response": {"output": "one row"}}}]},
+        {"id": "g2", "timestamp": "2026-06-17T10:00:04Z", "type": "gemini", "content": "All is well.", "model": "gemini-3", "tokens": {"input": 1200, "cached": 1100, "output": 30, "thoughts": 0}},
+        {"type": "info", "content": "x"}, {"type": "novel"}, "not json",
+    ]),
+}
+COPILOT = {
+    "/x/session-state/1111/events.jsonl": _lines([
+        {"type": "session.start", "timestamp": "2026-06-16T09:00:00Z", "data": {"selectedModel": "gpt-5", "context": {"cwd": "/home/dev/synth-app/"}}},
+        {"type": "user.message", "timestamp": "2026-06-16T09:00:05Z", "data": {"content": "List the files."}}, {"type": "assistant.turn_start", "data": {}},
+        {"type": "assistant.message", "timestamp": "2026-06-16T09:00:07Z",
+         "data": {"content": "Listing.", "reasoningText": "a plan", "toolRequests": [{"toolCallId": "c1", "name": "bash", "arguments": {"command": "ls"}}]}},
+        {"type": "tool.execution_complete", "timestamp": "2026-06-16T09:00:09Z", "data": {"toolCallId": "c1", "toolName": "bash", "result": {"content": "a.py"}}},
+        {"type": "assistant.message", "timestamp": "2026-06-16T09:00:25Z", "data": {"content": "There is one."}}, {"type": "brand.new"}, "{",
+    ]),
+}
+
+
+def logs(spark: SparkSession, agent: str, files: dict[str, str]) -> Logs:
+    """What a source reads from files given as text."""
+    return by_id(agent).from_lines(lines(spark, files))
+
+
+def lines(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    rows = [(p, p, len(t.encode()), 1_780_000_000 + i, t) for i, (p, t) in enumerate(files.items())]
+    df = spark.createDataFrame(rows, "file_id string, path string, size_bytes bigint, m long, value string")
+    return split_lines(df.select("file_id", "path", "size_bytes", F.timestamp_seconds("m").alias("modified"), "value"))
