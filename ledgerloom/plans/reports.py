@@ -14,7 +14,10 @@ from ledgerloom.operators.pricing import micro_usd_terms, price_table, usd, with
 from ledgerloom.sources.base import Logs
 
 Report = dict[str, DataFrame]
-SEQ = F.struct("line_no", "sub_seq")
+
+def _seq() -> Column:
+    """An event's place in its file."""
+    return F.struct("line_no", "sub_seq")
 
 
 @dataclass
@@ -50,7 +53,7 @@ def summary(books: Books) -> Report:
     reqs, files, events = books.requests, books.logs.files, books.events()
     sessions = reqs.groupBy("row_id").agg(*rollup.rollup_aggs(), X.zero(F.sum(F.when(F.col("sidechain"), F.col("known_total")))).alias("sub_agent_tokens"))
     by_session = sessions.where("requests > 0").join(_rows(files), "row_id").withColumnRenamed("row_id", "id")
-    calls = events.select(SEQ.alias("seq"), "file_id", F.explode("tool_calls").alias("c"))
+    calls = events.select(_seq().alias("seq"), "file_id", F.explode("tool_calls").alias("c"))
     calls = calls.select("c.*", F.struct("file_id", "seq").alias("at"))
     return {
         "totals": reqs.agg(*rollup.rollup_aggs()),
@@ -94,7 +97,7 @@ def context(books: Books, scope: Column | None = None, top: int = 12) -> Report:
     """What fills the context windows. ``scope``: a condition on files, for a report on some of them."""
     files = books.logs.files if scope is None else books.logs.files.where(scope)
     files = files.select("file_id", "session_id", "parent_session", "row_id", "project", "agent", F.col("model").alias("session_model"), "disc")
-    events = books.events().join(files, "file_id").withColumn("seq", SEQ)
+    events = books.events().join(files, "file_id").withColumn("seq", _seq())
     parts = _parts(events)
     rank = F.array_position(F.array(*[F.lit(c) for c in CONTENT]), F.col("source"))
     billed = events.where("kind = 'Assistant' AND usage IS NOT NULL").withColumn("fill", X.window_fill("usage."))
@@ -224,7 +227,7 @@ def folded(report: Report) -> DataFrame:
 def drilldown(books: Books) -> Report:
     """Sessions and their turns; ``context`` scoped to a session gives the third level."""
     reqs, files = books.requests, books.logs.files
-    said = books.events().where("kind = 'Assistant' AND request_id IS NOT NULL").withColumn("seq", SEQ)
+    said = books.events().where("kind = 'Assistant' AND request_id IS NOT NULL").withColumn("seq", _seq())
     notes = said.groupBy(F.col("file_id").alias("f"), F.col("request_id").alias("r")).agg(
         F.expr("min_by(content_summary, seq) FILTER (WHERE content_summary IS NOT NULL AND content_summary <> '')").alias("summary"),
         F.array_sort(F.collect_list(F.struct("seq", F.transform("tool_calls", lambda c: c["name"]).alias("names")))).alias("tools"),
