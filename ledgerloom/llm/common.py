@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python, which may not have it on its path. Once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerloom_shipped", False):
+        return
+    base = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(base.rglob("*.py")):
+            z.write(f, f.relative_to(base.parent))
+    sc.addPyFile(str(path))
+    sc._ledgerloom_shipped = True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm import (
     line_dedup, mixing, nearest, pieces, rarity, sharding, simhash, substring_dedup, suffix_dedup, toxicity,
 )
+from ledgerloom.llm.common import ship
 
 #: The tokenizer's file; a parameter, never copied into the repository.
 PIECES = "piece_bpe_32k.model"
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -41,6 +43,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
