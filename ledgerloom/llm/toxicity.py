@@ -8,7 +8,6 @@ quotation. A small logistic model turns a text's hits into a score.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -18,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import BYTE_CODES, Rolling, cut
+
 #: Characters written in place of letters. Fixed values.
 LOOKALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l"})
 QUOTES = "\"'«»‘’‚“”„‹›"
@@ -26,7 +27,8 @@ REPORTING = frozenset(
     "said says quote quoted quotes wrote called calling word term phrase slur insult "
     "sagte nannte zitat wort begriff dit disait mot terme citation dijo palabra cita".split()
 )
-EDGE = re.compile(r"^[^\w@$]+|[^\w@$]+$")
+#: Marks around words that aren't part of them. Fixed values.
+EDGE = ".,;:!?\"'`()[]{}<>«»‘’‚“”„‹›…-–—_*#%&/\\|~^+="
 #: Inputs of the logistic model: plain hits, misspelt hits, hits in quotations (each a sum of the
 #: stems' evidence, ``MOST`` at most). What is believed of their weights before any training.
 PRIOR = np.array([-3.0, 1.2, 1.2, 0.2])
@@ -40,7 +42,12 @@ def held_out(doc_id: str = "doc_id"):
 
 def plain(word: str) -> str:
     """A word in lower case without the marks around it; lookalikes stay."""
-    return EDGE.sub("", word.lower())
+    return word.lower().strip(EDGE)
+
+
+def shortened(word: str) -> list[str]:
+    """A word, and it without each of its letters."""
+    return [word, *[word[:i] + word[i + 1:] for i in range(len(word))]]
 
 
 class Trie:
@@ -95,8 +102,9 @@ class Trie:
 class Lexicon:
     """Finds hits. ``plain`` and ``misspelt``: a stem's evidence (log-odds) as written and near to it.
 
-    Words that share neither half of a stem are not taken to the automaton; stems under 5 letters
-    are only found as written.
+    Words one edit apart become equal when each loses a letter at most, so only words that share such
+    a shortened form with a stem are taken to the automaton. Stems under 5 letters are only found as
+    written.
     """
 
     plain: dict[str, float]
@@ -107,10 +115,8 @@ class Lexicon:
         self.trie = Trie(self.plain)
         long = [s for s in self.misspelt if len(s) >= 5]
         self.long = Trie(long)
-        self.heads = {s[: len(s) // 2] for s in long}
-        self.tails = {s[len(s) // 2:] for s in long}
-        self.head_sizes = sorted({len(x) for x in self.heads})
-        self.tail_sizes = sorted({len(x) for x in self.tails})
+        self.reach = {x for stem in long for x in shortened(stem)}
+        self.lengths = range(min(map(len, long), default=0) - 1, max(map(len, long), default=-2) + 2)
         self.firsts = {s[:4] for s in self.plain}
 
     def __getstate__(self) -> dict:
@@ -129,10 +135,8 @@ class Lexicon:
         other = word.translate(LOOKALIKE)
         if other != word and other[:4] in self.firsts and (stem := self.trie.prefix(other)) in self.misspelt:
             return 2, stem
-        # one edit leaves the first or the second half of a stem whole
-        if any(other[:n] in self.heads for n in self.head_sizes) or any(other[-n:] in self.tails for n in self.tail_sizes):
-            if stems := self.long.near(other):
-                return 2, max(stems, key=lambda s: (self.misspelt[s], s))
+        if len(other) in self.lengths and not self.reach.isdisjoint(shortened(other)) and (stems := self.long.near(other)):
+            return 2, max(stems, key=lambda s: (self.misspelt[s], s))
         return 0, ""
 
     def hits(self, text: str | None) -> tuple[list[str], dict[str, tuple[int, str]]]:
@@ -218,6 +222,20 @@ def train(
     rows = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     rows = rows.where(~held_out("i")).groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most_rows)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            least = []
+            for t in b.column(1):
+                x = np.frombuffer(t.as_buffer(), np.uint8)[: 1 << 22] if t.is_valid else np.zeros(0, np.uint8)
+                h = Rolling(BYTE_CODES[x]).every(min(24, max(1, len(x))))
+                least.append(int(h.min()) if len(h) else 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], ["i", "y", "sketch"])
+
+    # near copies mostly share their least window hash; of each such family one speaks for all, else
+    # whatever a copied text says would look like a sign
+    marked = text.join(F.broadcast(rows), text.doc_id == rows.i).select("i", "text", "y").mapInArrow(sketch, "i long, y int, sketch long")
+    rows = cut(marked.groupBy("sketch", "y").agg(F.min("i").alias("i")).select("i", "y"))
     known = text.join(F.broadcast(rows), text.doc_id == rows.i).select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,9 +295,9 @@ def train(
     near: dict[str, list[int]] = {s: [0, 0] for s in stems}
     for r in known.mapInArrow(misspelt, "stem string, y int, n long").groupBy("stem", "y").agg(F.sum("n").alias("n")).collect():
         near[r.stem][int(r.y > 0)] += r.n
-    # near a stem, words are taken for it until clean texts speak against that
-    trust = {s: math.log((bad + 5) / (clean + 0.5)) for s, (clean, bad) in near.items()}
-    lexicon = Lexicon(stems, {s: min(x, stems[s]) for s, x in trust.items() if x > 0.5})
+    # near a stem, words are taken for it (a little less) until clean texts speak against that
+    trust = {s: math.log((bad + 0.5) / (clean + 0.5)) if clean else 0.9 * stems[s] for s, (clean, bad) in near.items()}
+    lexicon = Lexicon(stems, {s: min(x, 0.9 * stems[s]) for s, x in trust.items() if x > 0.5})
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
