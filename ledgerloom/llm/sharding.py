@@ -1,20 +1,21 @@
 """Sharding by balanced label propagation, in DataFrame operations alone.
 
 Documents with equal texts are linked. They start in shards by hash; in each round a document asks
-to move to the shard where most of its neighbours are, if that shard has room, and as many may move
-as there is room for. Documents without links then fill the shards up to equal counts.
+to move to a shard where most of its neighbours are or will be, if that shard has room, and as many
+may move as there is room for. Documents without links then fill the shards up to equal counts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, rank_within
 
 
 def shards(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, rounds: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, rounds: int = 6
 ) -> DataFrame:
     """Per row: ``doc_id``, ``size``, ``text_crc32``, ``law`` ('rows'), ``shard``, ``slot``, ``grown_shard`` (null).
 
@@ -32,26 +33,36 @@ def shards(
     )
     # a row's number makes rows that repeat each other different; the checkpoint fixes it
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    groups = rows.groupBy("g").count().where("count > 1").select(F.col("g").alias("h"))
+    # cut, so that both sides of the joins below are dealt anew and Spark can split a large group
+    groups = cut(rows.groupBy("g").count().where("count > 1").select(F.col("g").alias("h")))
     table = cut(rows.join(groups, rows.g == groups.h, "left").withColumn("linked", F.col("h").isNotNull()).drop("h"))
     n = table.count()
     cap = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     free = table.where("not linked").select("row", F.xxhash64("row", "g").alias("x"))
     placed = table.where("linked").select("row", "g", F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int").alias("shard"))
 
-    for _ in range(rounds):
+    for nth in range(rounds):
         placed = cut(placed)
         load = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
         room = [max(0, cap[s] - load.get(s, 0)) for s in range(n_shards)]
         room_of = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("shard") + 1)
-        counts = placed.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("c"))
-        rank = F.struct(F.col("c").alias("c"), F.xxhash64("g", "shard").alias("x"), F.col("shard").alias("shard"))
-        best = counts.groupBy("g").agg(F.max(F.when(room_of > 0, rank)).alias("best"))
-        wish = counts.join(best, "g").where(rank < F.col("best")).select(
-            F.col("g").alias("wg"), F.col("shard").alias("ws"), F.col("best.shard").alias("to")
-        )
-        wish = placed.join(wish, (placed.g == F.col("wg")) & (placed.shard == F.col("ws"))).select("row", "g", "to")
-        asked = rank_within(wish, ["to"], [F.xxhash64("g"), F.col("row")], F.xxhash64("g"), "nth")
+        counts = placed.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("c")).withColumn("room", room_of)
+        # a group keeps to as few shards, those with most of it first, as have the room to take it in
+        first = W.partitionBy("g").orderBy(F.desc("c"), F.xxhash64("g", "shard"))
+        counts = counts.withColumn("upto", F.sum(F.col("c") + F.col("room")).over(first) - F.col("c") - F.col("room"))
+        counts = counts.withColumn("keep", F.col("upto") < F.sum("c").over(W.partitionBy("g")))
+        goals = counts.where("keep AND room > 0").groupBy(F.col("g").alias("gg")).agg(F.array_sort(F.collect_list(F.struct("shard", "room"))).alias("goals"))
+        leave = counts.where("NOT keep").join(goals, F.col("g") == F.col("gg")).select(F.col("g").alias("wg"), F.col("shard").alias("ws"), "goals")
+        leave = cut(leave)
+        if leave.isEmpty():
+            break
+        wish = placed.join(leave, (placed.g == F.col("wg")) & (placed.shard == F.col("ws")))
+        wish = wish.withColumn("at", F.expr(f"pmod(xxhash64(row, {nth}), aggregate(goals, 0L, (a, x) -> a + x.room))"))
+        wish = wish.select("row", "g", F.expr(
+            "aggregate(goals, named_struct('left', at, 'to', -1), (a, x) -> CASE WHEN a.to >= 0 THEN a WHEN a.left < x.room "
+            "THEN named_struct('left', a.left, 'to', x.shard) ELSE named_struct('left', a.left - x.room, 'to', a.to) END).to"
+        ).alias("to"))
+        asked = rank_within(wish, ["to"], [F.xxhash64("g"), F.col("row")], F.xxhash64("row"), "nth")
         room_to = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("to") + 1)
         moved = asked.where(F.col("nth") < room_to).select(F.col("row").alias("mr"), "to")
         placed = placed.join(moved, placed.row == moved.mr, "left").select("row", "g", F.coalesce("to", "shard").alias("shard"))
@@ -68,9 +79,9 @@ def shards(
     for s in range(n_shards):
         total += cap[s] - load.get(s, 0)
         bounds.append(total)
-    nth = rank_within(free, [], [F.col("x"), F.col("row")], F.col("x"), "nth", buckets=4096)
+    ranks = rank_within(free, [], [F.col("x"), F.col("row")], F.col("x"), "nth", buckets=4096)
     into = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("nth")))
-    homes = placed.select("row", "shard").unionByName(nth.select("row", into.alias("shard"))).withColumnRenamed("row", "r")
+    homes = placed.select("row", "shard").unionByName(ranks.select("row", into.alias("shard"))).withColumnRenamed("row", "r")
     out = table.join(homes, table.row == F.col("r")).select("doc_id", "size", "text_crc32", "shard", "row")
     out = rank_within(cut(out), ["shard"], [F.col("doc_id"), F.col("row")], F.xxhash64("row"), "slot")
     return out.select(
