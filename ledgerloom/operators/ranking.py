@@ -14,7 +14,7 @@ FRACTIONS = (0.01, 0.05, 0.10, 0.25)
 
 
 def head_sums(
-    rows: DataFrame, largest: str, order: list[Column], n: int, sums: dict[str, str], fractions: tuple[float, ...] = FRACTIONS, cells: int = 256
+    rows: DataFrame, largest: str, order: list[Column], n: int, sums: dict[str, str], fractions: tuple[float, ...] = FRACTIONS, cells: int = 64
 ) -> DataFrame:
     """For each fraction: how many rows it is (rounded up, 1 to n) and what the first so many sum to.
 
