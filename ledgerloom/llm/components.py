@@ -45,12 +45,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not now[0]:
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("k")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # cut, so that a join deals both its sides anew and Spark can split the edges of one node
+        least = cut(both.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "k")))
         large = (
             both.join(least, both.u == least.k).where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         )
-        least = large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")))
         joined = large.join(least, large.u == least.k)
         small = (
             joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
