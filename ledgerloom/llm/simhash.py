@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, keyed_docs
 from ledgerloom.llm.components import components, local_roots
 
 #: Bits by which the top of the trie branches at once.
@@ -52,15 +52,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seed: int) -> DataFrame:
-    """``doc_id``, ``fp`` (the 64 bits as a signed long)."""
+    """``doc_id``, ``fp`` (the 64 bits as a signed long), ``th`` (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], ["doc_id", "fp", "th"])
 
-    cols = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cols.mapInArrow(run, "doc_id long, fp long")
+    return keyed_docs(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def _pairs(heavy: set[tuple[int, int]], budget: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
@@ -248,6 +247,19 @@ def _with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
         yield True, held
 
 
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int, seed: int) -> DataFrame:
+    """Per row of ``docs``: ``doc_id``, ``th``, ``fp``, ``root`` (the component), ``component_id`` (its smallest doc_id)."""
+    table = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    distinct = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
+    roots = components(links(distinct.select("fp"), max_bits))
+    named = distinct.join(roots, distinct.fp == roots.v, "left").select(
+        "fp", "least_doc", F.coalesce("root", "fp").alias("root")
+    )
+    names = named.groupBy(F.col("root").alias("r")).agg(F.min("least_doc").alias("component_id"))
+    by_fp = named.join(names, named.root == names.r).select(F.col("fp").alias("f"), "root", "component_id")
+    return table.join(by_fp, table.fp == by_fp.f).select("doc_id", "th", "fp", "root", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2, seed: int = 42
 ) -> DataFrame:
@@ -259,27 +271,33 @@ def near_duplicates(
     unless the whole component has none. Repeated rows come out repeated. An empty table gives no
     rows.
     """
-    table = cut(fingerprints(docs, id_col, text_col, shingle, seed))
-    distinct = cut(table.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
-    roots = components(links(distinct.select("fp"), max_bits))
-    named = distinct.join(roots, distinct.fp == roots.v, "left").select(
-        "fp", "least_doc", F.coalesce("root", "fp").alias("root")
-    )
-    names = named.groupBy(F.col("root").alias("r")).agg(F.min("least_doc").alias("component_id"))
-    by_fp = named.join(names, named.root == names.r).select(F.col("fp").alias("f"), "component_id")
-    return table.join(by_fp, table.fp == by_fp.f).select(
+    return _linked(docs, id_col, text_col, shingle, max_bits, seed).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that bear the smallest ``doc_id`` of their component, columns as they are.
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` of each component, columns as they are.
 
-    Of rows that repeat such a ``doc_id`` one stays. Rows without a ``doc_id`` stay if the component of
-    any such row has none.
+    ``found`` has ``doc_id``, ``th`` (hash of the text) and ``root`` (component) of each row. The row
+    with the smallest ``doc_id`` (null last), then the smallest ``th`` stays; of rows that repeat both
+    one does.
     """
-    found = cut(near_duplicates(docs, id_col, text_col, shingle, max_bits))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates([id_col])
+    keys = found.groupBy("root", "doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    least = keys.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "n")).alias("k"))
+    keep = cut(least.select(F.col("k.doc_id").alias("_kept_id"), F.col("k.th").alias("_kept_th"), F.col("k.n").alias("_kept_n")))
+    doc, th = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+
+    def rows(of: DataFrame) -> DataFrame:
+        return docs.join(of, doc.eqNullSafe(F.col("_kept_id")) & th.eqNullSafe(F.col("_kept_th")), "left_semi")
+
+    again = keep.where("_kept_n > 1")
+    if again.isEmpty():
+        return rows(keep)
+    ties = rows(again).withColumn("_kept_id", doc).withColumn("_kept_th", th).dropDuplicates(["_kept_id", "_kept_th"])
+    return rows(keep.where("_kept_n = 1")).unionByName(ties.drop("_kept_id", "_kept_th"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """One row of each component of ``near_duplicates``: that of the smallest ``doc_id``, null last."""
+    return keep_one(docs, cut(_linked(docs, id_col, text_col, shingle, max_bits, 42)), id_col, text_col)
