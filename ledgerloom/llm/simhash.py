@@ -26,26 +26,31 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1).ast
 _BYTE = np.arange(8) * 256
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The SimHash of a text: A-Z lower-cased, words split at ASCII white space.
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """The XXH64 of each shingle: A-Z lower-cased, words split at ASCII white space.
 
-    A bit is 1 if it is set in over half of the shingles' XXH64. Fewer words than ``shingle`` are one
-    shingle; no words, or null, give 0.
+    Fewer words than ``shingle`` are one shingle; no words, or null, give none.
     """
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return 0
+    h = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
+        return np.array([h(b" ".join(words), seed)] if words else [], np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    h = xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
-    hashes = np.fromiter(
+    return np.fromiter(
         [h(joined[s:e], seed) for s, e in zip(starts[:n].tolist(), ends[shingle - 1:].tolist(), strict=True)],
         np.uint64, n,
     )
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The SimHash of a text: a bit is 1 if it is set in over half of ``shingle_hashes``; 0 without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    n = len(hashes)
+    if n <= 1:
+        return int(hashes[0]) if n else 0
     counts = np.bincount((hashes.view(np.uint8).reshape(n, 8) + _BYTE).ravel(), minlength=2048).reshape(8, 256)
     bits = (2 * (counts @ _BITS)[::-1] > n).astype(np.uint8)  # the last byte is the highest
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
