@@ -1,7 +1,8 @@
 """Line deduplication by content-defined chunks of lines.
 
 A rolling hash over a line's hash and the one before it decides whether a chunk ends after the line,
-so that chunks fall into step again after lines are put in or taken out. A chunk of several lines
+so that chunks fall into step again after lines are put in or taken out. Where lines come round again
+at once, which gives the hash few values, chunks end with each round instead. A chunk of several lines
 that occurs again is removed, but for its first occurrence; occurrences are compared byte by byte.
 """
 
@@ -22,22 +23,40 @@ from ledgerloom.llm.common import keyed_docs, parts_for
 _ODD = 0x9E3779B97F4A7C15
 
 
-def chunks(text: bytes, every: int = 3) -> Iterator[tuple[int, int, int]]:
+def _round(recent: list[int], h: int) -> bool:
+    """Whether a line of hash ``h`` ends a round of lines that repeat; ``recent``: hashes of the lines before, latest last.
+
+    A round is as many lines as lie between the line and its like. It ends where its greatest hash is,
+    so that it ends at the same line wherever a text enters it. Rounds of over two lines need two
+    lines in turn that come again.
+    """
+    for p in range(1, len(recent) + 1):
+        if recent[-p] == h and (p <= 2 or (p < len(recent) and recent[-p - 1] == recent[-1])):
+            return h >= max(recent[-p:])
+    return False
+
+
+def chunks(text: bytes, every: int = 3, longest: int = 16, look: int = 8) -> Iterator[tuple[int, int, int]]:
     """Start, end (in bytes, line ends included) and number of lines of each chunk.
 
     A chunk ends after a line for which the rolling hash of it and its predecessor is divisible by
-    ``every``, if the chunk then has two lines at least; and with the text.
+    ``every``, or which ends a round of at most ``look`` lines (``_round``), if the chunk then has two
+    lines at least; after ``longest`` lines; and with the text.
     """
     start = at = lines = before = 0
+    recent: list[int] = []
     for line in text.splitlines(keepends=True) if b"\r" not in text and b"\x0b" not in text else _lines(text):
         at += len(line)
         lines += 1
         h = xxhash.xxh3_64_intdigest(line.rstrip(b"\n"))
         roll = ((before * _ODD + h) & (2**64 - 1)) >> 20
-        before = h
-        if lines >= 2 and roll % every == 0:
+        if lines >= 2 and (roll % every == 0 or lines >= longest or (h in recent and _round(recent, h))):
             yield start, at, lines
             start, lines = at, 0
+        before = h
+        recent.append(h)
+        if len(recent) > look:
+            del recent[0]
     if lines:
         yield start, at, lines
 
