@@ -2,11 +2,15 @@
 
 Documents with equal texts are linked. They start in shards by hash; in each round a document asks
 to move to a shard where most of its neighbours are or will be, if that shard has room, and as many
-may move as there is room for. Documents without links then fill the shards up to equal counts.
+may move as there is room for. Rounds go on as long as the wishes fall. Groups that are still split
+then, for want of room or time, are taken out and placed whole, one after the other, into the room
+that this makes. Documents without links then fill the shards up to equal counts.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +19,14 @@ from ledgerloom.llm.common import cut, rank_within
 
 
 def shards(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16, rounds: int = 6
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 16
 ) -> DataFrame:
     """Per row: ``doc_id``, ``size``, ``text_crc32``, ``law`` ('rows'), ``shard``, ``slot``, ``grown_shard`` (null).
 
     The counts of any two shards differ by one at most. ``size``: UTF-8 bytes plus 1 (null text: 1).
     Null texts are equal to each other and to the empty text. A group that is larger than a shard
-    spreads over several; otherwise equal texts share a shard unless it is full. Rows are placed one
+    spreads over several; otherwise equal texts share a shard, but for at most ``n_shards - 1`` groups in
+    all that lie across the end of a full shard. Rows are placed one
     by one, also those that repeat a ``doc_id``. An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -41,7 +46,8 @@ def shards(
     free = table.where("not linked").select("row", F.xxhash64("row", "g").alias("x"))
     placed = table.where("linked").select("row", "g", F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int").alias("shard"))
 
-    for nth in range(rounds):
+    nth, wishes = 0, None
+    while True:
         placed = cut(placed)
         load = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
         room = [max(0, cap[s] - load.get(s, 0)) for s in range(n_shards)]
@@ -52,10 +58,12 @@ def shards(
         counts = counts.withColumn("upto", F.sum(F.col("c") + F.col("room")).over(first) - F.col("c") - F.col("room"))
         counts = counts.withColumn("keep", F.col("upto") < F.sum("c").over(W.partitionBy("g")))
         goals = counts.where("keep AND room > 0").groupBy(F.col("g").alias("gg")).agg(F.array_sort(F.collect_list(F.struct("shard", "room"))).alias("goals"))
-        leave = counts.where("NOT keep").join(goals, F.col("g") == F.col("gg")).select(F.col("g").alias("wg"), F.col("shard").alias("ws"), "goals")
+        leave = counts.where("NOT keep").join(goals, F.col("g") == F.col("gg")).select(F.col("g").alias("wg"), F.col("shard").alias("ws"), "c", "goals")
         leave = cut(leave)
-        if leave.isEmpty():
+        asking = leave.agg(F.sum("c")).head()[0] or 0
+        if not asking or (wishes is not None and asking > 0.9 * wishes):
             break
+        wishes = asking
         wish = placed.join(leave, (placed.g == F.col("wg")) & (placed.shard == F.col("ws")))
         wish = wish.withColumn("at", F.expr(f"pmod(xxhash64(row, {nth}), aggregate(goals, 0L, (a, x) -> a + x.room))"))
         wish = wish.select("row", "g", F.expr(
@@ -66,15 +74,10 @@ def shards(
         room_to = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("to") + 1)
         moved = asked.where(F.col("nth") < room_to).select(F.col("row").alias("mr"), "to")
         placed = placed.join(moved, placed.row == moved.mr, "left").select("row", "g", F.coalesce("to", "shard").alias("shard"))
-    placed = cut(placed)
+        nth += 1
+    placed = _settled(cut(placed), cap)
 
     load = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
-    if any(load.get(s, 0) > cap[s] for s in range(n_shards)):
-        ranked = cut(rank_within(placed, ["shard"], [F.col("row")], F.xxhash64("row"), "nth"))
-        over = F.col("nth") >= F.element_at(F.array(*[F.lit(c) for c in cap]), F.col("shard") + 1)
-        free = free.unionByName(ranked.where(over).select("row", F.xxhash64("row", "g").alias("x")))
-        placed = ranked.where(~over).drop("nth")
-        load = {s: min(cap[s], load.get(s, 0)) for s in range(n_shards)}
     bounds, total = [], 0
     for s in range(n_shards):
         total += cap[s] - load.get(s, 0)
@@ -88,3 +91,41 @@ def shards(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def _settled(placed: DataFrame, cap: list[int]) -> DataFrame:
+    """``placed`` (row, g, shard) with its split groups placed anew, and no shard over ``cap``.
+
+    A group is split if it is in more shards than it needs; groups of a shard over its capacity go with
+    them. They are laid end to end, the largest first, along the room that they leave, the shard with
+    the most room first, so that each end of a shard cuts one group at most.
+    """
+    n_shards, size = len(cap), max(cap)
+    counts = cut(placed.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("c")))
+    groups = counts.groupBy("g").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("in"))
+    split = groups.where(F.col("in") > F.ceil(F.col("n") / max(1, min(cap)))).select(F.col("g").alias("sg"))
+    whole = counts.join(split, counts.g == split.sg, "left_anti")
+    full = [r.shard for r in whole.groupBy("shard").agg(F.sum("c").alias("c")).collect() if r.c > cap[r.shard]]
+    if full:
+        split = split.unionByName(whole.where(F.col("shard").isin(full)).select(F.col("g").alias("sg"))).distinct()
+    anew = cut(groups.join(split, groups.g == split.sg, "left_semi").select("g", "n"))
+    if anew.isEmpty():
+        return placed
+
+    # where each group starts: the few large ones first, by size; the others by cells, so that they never meet in one task
+    cell = F.when(F.col("n") * 4 > size, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64("g"), F.lit(4096))).cast("int")
+    anew = anew.withColumn("cell", cell)
+    cells = anew.groupBy(F.col("cell").alias("k")).agg(F.sum("n").alias("m"))
+    cells = cells.withColumn("base", F.sum("m").over(W.orderBy("k")) - F.col("m")).select("k", "base")
+    inner = F.sum("n").over(W.partitionBy("cell").orderBy(F.desc("n"), "g").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    starts = anew.withColumn("inner", inner).join(cells, F.col("cell") == F.col("k"))
+    starts = cut(starts.select(F.col("g").alias("sg"), (F.col("base") + F.col("inner")).alias("start")))
+
+    stay = cut(placed.join(starts, placed.g == starts.sg, "left_anti").select("row", "g", "shard"))
+    load = {r.shard: r["count"] for r in stay.groupBy("shard").count().collect()}
+    room = sorted(((cap[s] - load.get(s, 0), s) for s in range(n_shards)), key=lambda x: (-x[0], x[1]))
+    ends = list(accumulate(r for r, _ in room))
+    moving = rank_within(placed.join(starts, placed.g == starts.sg).select("row", "g", "start"), ["g"], [F.col("row")], F.xxhash64("row"), "nth")
+    at = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("start") + F.col("nth")))
+    to = F.element_at(F.array(*[F.lit(s) for _, s in room]), at + 1)
+    return cut(stay.unionByName(moving.select("row", "g", to.alias("shard"))))
