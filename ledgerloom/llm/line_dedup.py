@@ -75,59 +75,49 @@ def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join([text[x:y] for x, y in zip([0, *ends[o].tolist()], [*starts[o].tolist(), len(text)], strict=True)])
 
 
-def repeated_chunks(docs: DataFrame, every: int = 3, bucket_bytes: int = 32 << 20, chunk: int = 4 << 20) -> DataFrame:
+def repeated_chunks(docs: DataFrame, every: int = 3, bucket_bytes: int = 32 << 20, step: int = 1 << 20) -> DataFrame:
     """Spans (in bytes) of ``docs`` (doc_id, text, th): chunks of several lines but for their first occurrence."""
-    parts = parts_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0, bucket_bytes)
+    size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
+    parts = parts_for(docs.sparkSession, size[1] or 0, bucket_bytes)
     many = np.uint64(parts)
 
     def cutter(rows: Iterator[tuple[int, int, bytes]], out: repeats.Records) -> Iterator[None]:
-        held: list[tuple[int, int, int, bytes]] = []
+        held: list[tuple[int, int, int]] = []
+        bodies: list[bytes] = []
         size = 0
 
         def work() -> None:
-            first: dict[bytes, tuple[int, int, int]] = {}
-            again = []
-            held.sort(key=lambda x: (x[0], x[2]))
-            for doc, th, start, body in held:
-                if body in first:
-                    again.append((doc, th, start, start + len(body)))
-                else:
-                    first[body] = (doc, th, start)
-            if again:
-                out.add_spans(*np.array(again, np.int64).T)
-            if first:
-                doc, th, start = np.array(list(first.values()), np.int64).T
-                key = np.fromiter(map(xxhash.xxh3_64_intdigest, first), np.uint64, len(first))
-                out.add(key, doc, th, start, np.ones(len(first), np.int64), list(first))
+            if held:
+                doc, th, start = np.array(held, np.int64).T
+                key = np.fromiter(map(xxhash.xxh3_64_intdigest, bodies), np.uint64, len(bodies))
+                out.add(key, key, doc, th, start, np.ones(len(held)), np.zeros(len(held)), bodies)
 
         for doc, th, text in rows:
             for start, end, lines in chunks(text, every):
                 if lines > 1 and not (body := text[start:end]).isspace():
-                    held.append((doc, th, start, body))
+                    held.append((doc, th, start))
+                    bodies.append(body)
                     size += end - start
-            if size >= chunk:
+            if size >= step:
                 work()
-                held.clear()
-                size = 0
+                held, bodies, size = [], [], 0
                 yield
         work()
         yield
 
-    def settle(cols: list[np.ndarray], text: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        _, doc, _, start, _ = cols
+    def settle(cols: list[np.ndarray], text: np.ndarray, ends: np.ndarray) -> tuple[repeats.Span, repeats.Rest]:
+        doc, start = cols[repeats.DOC], cols[repeats.START]
         buf, begins = text.tobytes(), np.concatenate(([0], ends[:-1]))
-        seen: set[bytes] = set()
+        first: dict[bytes, int] = {}
         again = []
-        for i in np.lexsort((start, doc)).tolist():
-            body = buf[begins[i]:ends[i]]
-            if body in seen:
+        for i in np.lexsort((start, cols[repeats.TH], doc)).tolist():
+            if first.setdefault(buf[begins[i]:ends[i]], i) != i:
                 again.append(i)
-            seen.add(body)
-        if again:
-            a = np.array(again)
-            yield a, start[a], start[a] + (ends - begins)[a]
+        a, on = np.array(again, np.int64), np.array(list(first.values()), np.int64)
+        return (a, start[a], start[a] + (ends - begins)[a]), (on, start[on], np.ones(len(on)), list(first))
 
-    return repeats.deal(docs, cutter, settle, lambda key: (key % many).astype(np.int64), parts)
+    hot = repeats.hot_keys(repeats.sampled(docs, size[0], parts), cutter, parts)
+    return repeats.deal(docs, cutter, settle, lambda key: key % many, parts, hot)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 3) -> DataFrame:

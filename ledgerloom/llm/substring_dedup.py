@@ -1,7 +1,8 @@
 """Substring deduplication over windows of words, by super-k-mers.
 
 Consecutive windows that share a minimiser travel as one packed string to the minimiser's bucket,
-where sorting shows exactly which windows occur in a smaller document.
+where sorting shows exactly which windows occur in a smaller document. A minimiser that would overfill
+its bucket goes to many, which pass on what they can't settle.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ def repeated_words(docs: DataFrame, window: int = 50, gram: int = 5, bucket_byte
     """Spans (in words) of ``docs`` (doc_id, text, th) that windows of smaller documents cover."""
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
     parts = parts_for(docs.sparkSession, size[1] or 0, bucket_bytes)
-    scheme = windows.Scheme(windows.by_words, window, min(gram, window), True, 1, np.zeros(0, np.uint64))
-    scheme.common = windows.common_grams(docs, scheme, size[0])
-    many = np.uint64(parts)
-    return repeats.deal(docs, windows.cutter(scheme), windows.settler(scheme), lambda key: (key % many).astype(np.int64), parts)
+    scheme = windows.Scheme(windows.by_words, window, min(gram, window), False, np.zeros(0, np.uint64))
+    sample = repeats.sampled(docs, size[0], parts)
+    scheme.common = windows.common_grams(sample, scheme)
+    cutter, many = windows.cutter(scheme), np.uint64(parts)
+    hot = repeats.hot_keys(sample, cutter, parts)
+    return repeats.deal(docs, cutter, windows.word_settler(scheme), lambda key: key % many, parts, hot)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:

@@ -1,19 +1,25 @@
 """Exact deduplication of long byte strings by a sparse, distributed suffix array.
 
-A full suffix array of the corpus has a suffix for each byte. Here the suffixes start where a gram is
-the least by hash in some window of ``length`` bytes: equal strings choose equal starts, so the
-windows around a start stand for its suffix. Splitters sampled from the suffixes' leading grams
-split them into ranges; a range's bucket sorts its suffixes and their windows key by key, taking only
-ties on (multikey quicksort), and compares what still ties byte by byte. Equal leading grams lie on
-one side of a splitter, so strings that are equal never lie across a boundary; the buckets on both
-sides have nothing left to compare.
+A full suffix array of the corpus has a suffix for each byte. Here suffixes start where a gram is the
+least by hash in some window of ``length`` bytes (the leftmost, if it is there more than once): equal
+windows choose equal starts, so a window is known by its suffix and by how far before it the window
+begins. The windows that choose a start travel with it as one packed string.
+
+Splitters sampled from the suffixes' leading bytes split them into ranges. A range's bucket sorts its
+suffixes by multikey quicksort, eight bytes at a time and only ties further on, and likewise what
+stands before them, read backwards; both orders come with the common lengths of neighbours. A window
+that begins L bytes before its suffix is repeated if another suffix agrees with it in the ``length`` - L
+bytes after and the L bytes before the start, that is if both lie in the same intervals of both
+orders. Equal leading bytes lie on one side of a splitter. Where that would overfill a range, its suffixes
+are dealt over several buckets, and each passes on one window of each kind, which are then compared
+with the others across those boundaries.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +27,103 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import repeats, windows
-from ledgerloom.llm.common import keyed_docs, mask_to_ranges, parts_for, ranges_to_mask
+from ledgerloom.llm.common import Rolling, keyed_docs, mask_to_ranges, parts_for, ranges_to_mask
+
+
+def multikey_sort(chunk: Callable[[np.ndarray, int], np.ndarray], n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings 0 to n-1 in order, and how many bytes each has in common with the one before it.
+
+    ``chunk`` gives the eight bytes of some strings from a place on, as numbers. Strings are split by
+    their first eight bytes; those that tie are split by the next, up to ``depth`` bytes.
+    """
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    live, group = np.arange(n), np.zeros(n, np.int64)  # places of strings that still tie, and with which
+    for at in range(0, depth, 8):
+        if not len(live):
+            break
+        v = chunk(order[live], at)
+        o = np.lexsort((v, group))
+        order[live] = order[live[o]]
+        v = v[o]
+        old = np.concatenate(([False], group[1:] == group[:-1]))
+        differs = np.concatenate(([0], v[1:] ^ v[:-1])).astype(np.uint64)
+        same = sum((differs < np.uint64(1 << 8 * k)).astype(np.int64) for k in range(1, 8)) + (differs == 0)
+        common[live[old]] = np.minimum(at + same[old], depth)
+        tied = old & (differs == 0)
+        stay = tied | np.concatenate((tied[1:], [False]))
+        group = np.cumsum(~tied)[stay]
+        live = live[stay]
+    return order, common
+
+
+def _classes(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Numbers for the strings, equal where they agree in ``least`` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < least)
+    return out
+
+
+def _reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The most bytes that each string has in common with any other."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(common, np.concatenate((common[1:], [0])))
+    return out
+
+
+def suffix_settler(scheme: windows.Scheme) -> repeats.Settle:
+    """Finds the repeated windows among packed strings."""
+    k, m = scheme.k, scheme.m
+
+    def run(cols: list[np.ndarray], text: np.ndarray, ends: np.ndarray) -> tuple[repeats.Span, repeats.Rest]:
+        doc, start, n = cols[repeats.DOC], cols[repeats.START], cols[repeats.N]
+        buf, first = text.tobytes(), ends - (n + k - 1)
+        # suffixes: where the key's gram stands, each with the windows that it is the leftmost of
+        grams = scheme.order(Rolling(windows.BYTE_CODES[text]).every(m))
+        owner = np.repeat(np.arange(len(n)), n + k - 1)[: len(grams)]
+        a = np.flatnonzero(grams == cols[repeats.KEY].view(np.uint64)[owner])
+        r = owner[a]
+        inside = a + m <= ends[r]
+        a, r = a[inside], r[inside]
+        before = np.where(np.concatenate(([False], r[1:] == r[:-1])), np.concatenate(([0], a[:-1])) + 1, 0)
+        lo, hi = np.maximum(np.maximum(before, first[r]), a - (k - m)), np.minimum(a, first[r] + n[r] - 1)
+        a, r, lo, hi = (x[lo <= hi] for x in (a, r, lo, hi))
+        least, most = a - hi, a - lo  # bytes of the windows before the suffix
+        right = multikey_sort(lambda i, at: windows.eight(text, a[i] + at), len(a), k)
+        left = multikey_sort(lambda i, at: windows.eight(text, a[i] - at, back=True), len(a), k - m)
+        least, most = np.maximum(least, k - _reach(*right)), np.minimum(most, _reach(*left))
+        width = np.cumsum(n) - n - first  # from a window's first byte to its number
+        hit, on = np.zeros(int(n.sum()), bool), np.ones(int(n.sum()), bool)
+        may = np.flatnonzero(least <= most)
+        for length in range(int(least[may].min(initial=k)), int(most[may].max(initial=-1)) + 1):
+            some = may[(least[may] <= length) & (length <= most[may])]
+            if len(some) < 2:
+                continue
+            after, ahead = _classes(*right, k - length)[some], _classes(*left, length)[some]
+            o = np.lexsort((start[r[some]] + a[some] - first[r[some]], doc[r[some]], ahead, after))
+            some, after, ahead = some[o], after[o], ahead[o]
+            eq = (after[1:] == after[:-1]) & (ahead[1:] == ahead[:-1])
+            again, next_too = np.concatenate(([False], eq)), np.concatenate((eq, [False]))
+            at = a[some] - length + width[r[some]]
+            hit[at[again | next_too]] = True
+            on[at[again]] = False
+        rec = np.repeat(np.arange(len(n)), n)
+        number = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)
+        return windows.spans_and_rest(rec, number, hit, on, start, k, lambda x, y: [
+            buf[i:j] for i, j in zip((first[rec[x]] + number[x]).tolist(), (first[rec[y]] + number[y] + k).tolist(), strict=True)])
+
+    return run
 
 
 def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 32, bucket_bytes: int = 32 << 20) -> DataFrame:
     """Spans (in bytes) of ``docs`` (doc_id, text, th) that a repeated ``length``-byte string covers."""
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
     parts = parts_for(docs.sparkSession, size[1] or 0, bucket_bytes)
-    scheme = windows.Scheme(windows.by_bytes, length, min(gram, length), False, 2, np.zeros(0, np.uint64))
-    scheme.common = windows.common_grams(docs, scheme, size[0])
-    bounds = windows.splitters(docs, scheme, parts, size[0])
-    return repeats.deal(
-        docs, windows.cutter(scheme), windows.settler(scheme), lambda key: np.searchsorted(bounds, key, "right").astype(np.int64), parts
-    )
+    scheme = windows.Scheme(windows.by_bytes, length, min(gram, length), True, np.zeros(0, np.uint64))
+    sample = repeats.sampled(docs, size[0], parts)
+    scheme.common = windows.common_grams(sample, scheme)
+    cutter = windows.cutter(scheme)
+    bounds, hot = windows.splitters(sample, cutter, parts), repeats.hot_keys(sample, cutter, parts)
+    return repeats.deal(docs, cutter, suffix_settler(scheme), lambda lead: np.searchsorted(bounds, lead, "right"), parts, hot)
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400) -> DataFrame:

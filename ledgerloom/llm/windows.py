@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BYTE_CODES, Rolling, mask_to_ranges, mix64, sliding_min
-from ledgerloom.llm.repeats import Records
+from ledgerloom.llm.common import BYTE_CODES, Rolling, mask_to_ranges, sliding_min
+from ledgerloom.llm.repeats import LEAD, Records, Rest, Settle, Span, texts_of
 
 #: Symbols that are worked on at a time; longer texts are cut into overlapping pieces.
 CHUNK = 1 << 20
@@ -61,13 +61,12 @@ def by_words(buf: bytes) -> Symbols:
 
 @dataclass
 class Scheme:
-    """k symbols a window, m a gram. ``smaller``: only a smaller document's windows count as repeated."""
+    """k symbols a window, m a gram. Buckets are dealt by the leading bytes of the gram if ``by_lead``, else by its hash."""
 
     split: Callable[[bytes], Symbols]
     k: int
     m: int
-    smaller: bool
-    keys: int
+    by_lead: bool
     common: np.ndarray
 
     def order(self, grams: np.ndarray) -> np.ndarray:
@@ -78,34 +77,31 @@ class Scheme:
             h = np.where(self.common[at] == h, h | TOP, h)
         return h
 
-    def minimisers(self, roll: Rolling) -> np.ndarray:
-        return sliding_min(self.order(roll.every(self.m)), self.k - self.m + 1)
 
+def eight(raw: np.ndarray, at: np.ndarray, back: bool = False) -> np.ndarray:
+    """The eight bytes from places ``at`` on (``back``: before them, the nearest first) as one number; zeros outside."""
+    steps = np.arange(8)
+    i = at[:, None] + (-1 - steps if back else steps)
+    inside = (i >= 0) & (i < len(raw))
+    return np.where(inside, raw[np.clip(i, 0, max(0, len(raw) - 1))], 0).astype(np.uint8).view(">u8").ravel().astype(np.uint64)
 
-def repeated(s: Symbols, roll: Rolling, pos: np.ndarray, doc: np.ndarray, place: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """For windows that start at symbols ``pos``: which are repeated, and which to pass on.
 
-    Windows are sorted key by key, as multikey quicksort does with strings: the first stretch of
-    symbols orders them, and only ties are taken on to the next stretch. What still ties at the end
-    is compared byte by byte with the group's first window, in whole runs. Each group's first window
-    (least document, then place) is passed on, and in a scheme by smaller documents all of that
-    document's.
+def repeated(s: Symbols, roll: Rolling, pos: np.ndarray, doc: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For windows of ``k`` symbols that start at ``pos``: which of them a smaller document has too, and which to pass on.
+
+    Windows are sorted by hash; what ties is compared byte by byte with the group's first window (least
+    document, then place), in whole runs. All of the first one's document's windows are passed on.
     """
     n = len(pos)
-    hit, on = np.zeros(n, bool), np.ones(n, bool)
-    step = scheme.k // scheme.keys
-    idx, group = np.arange(n), np.zeros(n, np.uint64)
-    for j in range(scheme.keys):
-        a = pos[idx] + j * step
-        b = a + step if j < scheme.keys - 1 else pos[idx] + scheme.k
-        v = mix64(roll.at(a, b) + group)
-        o = np.argsort(v)
-        v, idx = v[o], idx[o]
-        eq = v[1:] == v[:-1]
-        keep = np.concatenate((eq, [False])) | np.concatenate(([False], eq)) if len(v) else np.zeros(0, bool)
-        idx, group = idx[keep], v[keep]
-        if not len(idx):
-            return hit, on
+    hit = np.zeros(n, bool)
+    v = roll.at(pos, pos + k)
+    idx = np.argsort(v)
+    v = v[idx]
+    eq = v[1:] == v[:-1]
+    keep = np.concatenate((eq, [False])) | np.concatenate(([False], eq)) if len(v) else np.zeros(0, bool)
+    idx, group = idx[keep], v[keep]
+    if not len(idx):
+        return hit, ~hit
     ids = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]).astype(np.int64))))
     o = np.lexsort((place[idx], doc[idx], ids))
     idx = idx[o]
@@ -118,23 +114,17 @@ def repeated(s: Symbols, roll: Rolling, pos: np.ndarray, doc: np.ndarray, place:
     cut = np.flatnonzero(np.concatenate(([True], (np.diff(p) != 1) | (np.diff(q) != 1), [True])))
     bad = []
     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        if p[a] != q[a] and s.slice(int(p[a]), int(p[b - 1]) + scheme.k) != s.slice(int(q[a]), int(q[b - 1]) + scheme.k):
+        if p[a] != q[a] and s.slice(int(p[a]), int(p[b - 1]) + k) != s.slice(int(q[a]), int(q[b - 1]) + k):
             bad += range(a, b)
     if bad:  # equal hashes of different strings: group those windows by their bytes
         by_text: dict[bytes, list[int]] = {}
         touched = set(lead[bad].tolist())
         for i in np.flatnonzero(np.isin(lead, list(touched))).tolist():
-            by_text.setdefault(s.slice(int(p[i]), int(p[i]) + scheme.k), []).append(i)
+            by_text.setdefault(s.slice(int(p[i]), int(p[i]) + k), []).append(i)
         for same in by_text.values():
             lead[same] = min(idx[same].tolist(), key=lambda i: (doc[i], place[i]))
-    if scheme.smaller:
-        hit[idx] = doc[lead] < doc[idx]
-        on[idx] = ~hit[idx]
-    else:
-        many = np.bincount(lead, minlength=n)
-        hit[idx] = many[lead] > 1
-        on[idx] = (lead == idx) | ~hit[idx]
-    return hit, on
+    hit[idx] = doc[lead] < doc[idx]
+    return hit, ~hit
 
 
 def runs(pos: np.ndarray, least: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,8 +184,7 @@ def cutter(scheme: Scheme, chunk: int = CHUNK) -> Callable[[Iterator[tuple[int,
         owner = np.repeat(np.arange(len(held), dtype=np.int32), np.diff(edges))
         if len(owner) < scheme.k:
             return
-        roll = Rolling(s.codes)
-        grams = scheme.order(roll.every(scheme.m))
+        grams = scheme.order(Rolling(s.codes).every(scheme.m))
         least = sliding_min(grams, scheme.k - scheme.m + 1)
         pos = np.flatnonzero(owner[: len(least)] == owner[scheme.k - 1:])
         own, least = owner[pos], least[pos]
@@ -205,28 +194,12 @@ def cutter(scheme: Scheme, chunk: int = CHUNK) -> Callable[[Iterator[tuple[int,
         a, b = runs(pos, least, own)
         if not len(a):
             return
-        key = least[a]
-        o = np.argsort(key)
-        eq = key[o][1:] == key[o][:-1]
-        twin = np.zeros(len(a), bool)
-        twin[o[1:][eq]] = True
-        twin[o[:-1][eq]] = True
-        if not scheme.smaller:  # equal windows inside one run: its gram comes in and goes out, at different places
-            goes, comes = grams[pos] == least, grams[pos + scheme.k - scheme.m] == least
-            twin |= np.logical_or.reduceat(goes, a) & np.logical_or.reduceat(comes, a)
-        del grams
-        if twin.any():  # settle here what repeats here, and pass on one of each
-            some = np.flatnonzero(np.repeat(twin, b - a))
-            hit, on = repeated(s, roll, pos[some], docs[own[some]], pos[some] + shift[own[some]], scheme)
-            if hit.any():
-                h = some[hit]
-                x, y = runs(pos[h], np.zeros(len(h), np.uint64), own[h])
-                w = own[h[x]]
-                out.add_spans(docs[w], ths[w], pos[h[x]] + shift[w], pos[h[y - 1]] + shift[w] + scheme.k)
-                go = np.ones(len(pos), bool)
-                go[some] = on
-                pos, least, own = pos[go], least[go], own[go]
-                a, b = runs(pos, least, own)
+        goes = grams[pos] == least  # a run's gram that leaves before the run's end has come again
+        goes[b - 1] = False
+        lead = least[a]
+        if scheme.by_lead:
+            at = [p + np.argmin(grams[p[:, None] + np.arange(scheme.k - scheme.m + 1)], axis=1) for p in np.array_split(pos[a], len(a) // 4096 + 1)]
+            lead = eight(np.frombuffer(s.buf, np.uint8), np.concatenate(at))
         w = own[a]
         first, last = pos[a], pos[b - 1]
         if s.begin is None:
@@ -234,7 +207,7 @@ def cutter(scheme: Scheme, chunk: int = CHUNK) -> Callable[[Iterator[tuple[int,
         else:
             begin, end = s.begin[first], s.end[last + scheme.k - 1]
         text = [s.buf[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
-        out.add(least[a], docs[w], ths[w], first + shift[w], b - a, text)
+        out.add(least[a], lead, docs[w], ths[w], first + shift[w], b - a, np.logical_or.reduceat(goes, a), text)
 
     return run
 
@@ -252,37 +225,44 @@ def _word_bounds(text: bytes, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarr
     yield np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
-def settler(scheme: Scheme) -> Callable[[list[np.ndarray], np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """For ``repeats.deal``: finds the repeated windows among a bucket's runs."""
+def spans_and_rest(rec: np.ndarray, k: np.ndarray, hit: np.ndarray, on: np.ndarray, start: np.ndarray, window: int, text_of: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> tuple[Span, Rest]:
+    """What a ``Settle`` returns, from each window's record, number in it, and what was found.
 
-    def run(cols: list[np.ndarray], text: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        _, doc, _, start, n = cols
-        if scheme.split is by_bytes:
-            s = by_bytes(text.tobytes())
-            first = np.concatenate(([0], ends[:-1]))
-        else:
-            lens = np.diff(ends, prepend=0)
-            rooms = np.full(len(text) + len(lens), 0x0A, np.uint8)
-            rooms[np.arange(len(text)) + np.repeat(np.arange(len(lens)), lens)] = text
-            s = by_words(rooms.tobytes())
-            first = np.concatenate(([0], np.cumsum(n + scheme.k - 1)[:-1]))
-        roll = Rolling(s.codes)
+    ``text_of`` gives the texts from one window to another (indices into the windows).
+    """
+    h = np.flatnonzero(hit)
+    a, b = runs(k[h], np.zeros(len(h), np.uint64), rec[h])
+    spans = rec[h[a]], start[rec[h[a]]] + k[h[a]], start[rec[h[a]]] + k[h[b - 1]] + window
+    h = np.flatnonzero(on)
+    a, b = runs(k[h], np.zeros(len(h), np.uint64), rec[h])
+    return spans, (rec[h[a]], start[rec[h[a]]] + k[h[a]], b - a, text_of(h[a], h[b - 1]))
+
+
+def word_settler(scheme: Scheme) -> Settle:
+    """Finds the windows of words that a smaller document has too."""
+
+    def run(cols: list[np.ndarray], text: np.ndarray, ends: np.ndarray) -> tuple[Span, Rest]:
+        _, _, doc, _, start, n, _ = cols
+        lens = np.diff(ends, prepend=0)
+        rooms = np.full(len(text) + len(lens), 0x0A, np.uint8)
+        rooms[np.arange(len(text)) + np.repeat(np.arange(len(lens)), lens)] = text
+        s = by_words(rooms.tobytes())
+        first = np.cumsum(n + scheme.k - 1) - (n + scheme.k - 1)
         rec = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(rec)) - np.repeat(np.cumsum(n) - n, n)
-        hit, _ = repeated(s, roll, first[rec] + k, doc[rec], start[rec] + k, scheme)
-        h = np.flatnonzero(hit)
-        if len(h):
-            a, b = runs(k[h], np.zeros(len(h), np.uint64), rec[h])
-            yield rec[h[a]], start[rec[h[a]]] + k[h[a]], start[rec[h[a]]] + k[h[b - 1]] + scheme.k
+        pos = first[rec] + k
+        hit, on = repeated(s, Rolling(s.codes), pos, doc[rec], start[rec] + k, scheme.k)
+        return spans_and_rest(rec, k, hit, on, start, scheme.k, lambda a, b: [
+            s.buf[x:y] for x, y in zip(s.begin[pos[a]].tolist(), s.end[pos[b] + scheme.k - 1].tolist(), strict=True)])
 
     return run
 
 
-def common_grams(docs: DataFrame, scheme: Scheme, n_docs: int, sample: int = 2000, share: float = 0.005, most: int = 4096) -> np.ndarray:
-    """Grams in more than ``share`` of about ``sample`` documents, at most ``most``; sorted.
+def common_grams(sample: DataFrame, scheme: Scheme, share: float = 0.005, most: int = 4096) -> np.ndarray:
+    """Grams in more than ``share`` of the ``sample`` (doc_id, text, th), at most ``most``; sorted.
 
-    They only steer which bucket a window goes to, never whether it is found, so a sample will do.
-    Of all grams only those are looked at that a window would often choose.
+    They only steer which bucket a window goes to, never whether it is found. Of all grams only those
+    are looked at that a window would often choose, and of a text over 1 MB only the beginning.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,26 +274,20 @@ def common_grams(docs: DataFrame, scheme: Scheme, n_docs: int, sample: int = 200
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64))], ["h"])
 
-    part = docs.select("text") if n_docs <= sample else docs.select("text").sample(sample / n_docs, 7)
-    found = part.mapInArrow(run, "h long").groupBy("h").count()
-    found = found.where(F.col("count") > max(8, int(share * min(sample, n_docs)))).orderBy(F.desc("count"), "h").limit(most)
+    found = sample.select("text").mapInArrow(run, "h long").groupBy("h").count()
+    found = found.where(F.col("count") > max(8, int(share * sample.count()))).orderBy(F.desc("count"), "h").limit(most)
     return np.sort(np.array([r.h for r in found.collect()], np.uint64))
 
 
-def splitters(docs: DataFrame, scheme: Scheme, parts: int, n_docs: int, sample: int = 1000, most: int = 50_000) -> np.ndarray:
-    """Keys that split the runs of about ``sample`` documents into ``parts`` ranges of like size."""
+def splitters(sample: DataFrame, cut_up: Callable[[Iterator[tuple[int, int, bytes]], Records], Iterator[None]], parts: int) -> np.ndarray:
+    """Leads that split the records of the ``sample`` (doc_id, text, th) into ``parts`` ranges of like size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                if t.is_valid and len(x := t.as_buffer().to_pybytes()[: 1 << 20]) >= scheme.k:
-                    v = scheme.minimisers(Rolling(scheme.split(x).codes))
-                    v = v[np.concatenate(([True], v[1:] != v[:-1]))] if len(v) else v
-                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64))], ["v"])
-
-    part = docs.select("text") if n_docs <= sample else docs.select("text").sample(sample / n_docs, 11)
-    keys = np.array([r.v for r in part.mapInArrow(run, "v long").limit(most).collect()], np.int64).view(np.uint64)
-    if len(keys) < 2 or parts < 2:
-        return np.zeros(0, np.uint64)
-    keys.sort()
-    return np.unique(keys[(np.arange(1, parts) * len(keys)) // parts])
+        r = Records()
+        for _ in cut_up(texts_of(batches), r):
+            yield pa.RecordBatch.from_arrays([pa.array((r.table()[LEAD].view(np.uint64) ^ TOP).view(np.int64))], ["lead"])
+            r.clear()
+
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    found = sample.mapInArrow(run, "lead long").agg(F.percentile_approx("lead", at, F.lit(max(10_000, 20 * parts)))).head()[0] if parts > 1 else None
+    return np.unique(np.array(found or [], np.int64).view(np.uint64) ^ TOP)

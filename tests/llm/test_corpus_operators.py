@@ -2,17 +2,22 @@
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, mixing, nearest, pieces, rarity, sharding, simhash, substring_dedup, suffix_dedup, toxicity, windows
+from ledgerloom.llm import line_dedup, mixing, nearest, pieces, rarity, repeats, sharding, simhash, substring_dedup, suffix_dedup, toxicity, windows
 from ledgerloom.llm.components import components, local_roots
 from ledgerloom.llm.queries import model_path
 
+from llm.conftest import words
+
 
 def tuples(df):
     return sorted(map(tuple, df.collect()), key=repr)
@@ -29,34 +34,65 @@ def test_repeats_on_odd_tables(op, empty, doubled):
     assert op.digest(doubled).count() == doubled.count()
 
 
-def test_long_texts_are_worked_on_in_pieces(monkeypatch, docs, rows):
-    for scheme in (windows.Scheme(windows.by_bytes, 40, 8, False, 2, np.zeros(0, np.uint64)), windows.Scheme(windows.by_words, 10, 3, True, 1, np.zeros(0, np.uint64))):
-        text = [(i, (t or "").encode()) for i, t in rows]
-        found = []
-        for chunk in (1 << 20, 700):
-            from ledgerloom.llm.repeats import Records
-
-            out = Records()
-            list(windows.cutter(scheme, chunk)(((i, 0, t) for i, t in text), out))
-            runs = sum(int(n.sum()) for n in out.n)
-            spans = sum(int((e - s - scheme.k + 1).sum()) for _, _, s, e in out.spans)
-            found.append(runs + spans)
-        whole = sum(max(0, (len(t) if scheme.split is windows.by_bytes else len(t.split())) - scheme.k + 1) for _, t in text)
-        assert found[0] >= whole and found[1] >= whole  # a first one is settled and passed on
-
-
-def test_equal_hashes_of_different_strings(monkeypatch):
+def covered(records, k, n):
+    """Which of ``n`` symbols of each document the settled spans cover."""
+    out = {}
+    for doc, _, start, end in records.spans:
+        for d, x, y in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
+            out.setdefault(d, np.zeros(n[d], bool))[x:y] = True
+    return {d: int(m.sum()) for d, m in out.items() if m.any()}
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 700])
+def test_long_texts_are_worked_on_in_pieces(rows, chunk):
+    """What is removed is what brute force removes, however small the pieces are that texts are cut into."""
+    none = np.zeros(0, np.uint64)
+    text = [(i, (t or "").encode()) for i, t in rows if i != 84]
+    few = [(i, t) for i, t in rows if i != 84]
+    for scheme, settle, brute, split in (
+        (windows.Scheme(windows.by_bytes, 40, 8, True, none), suffix_dedup.suffix_settler, suffix_dedup.brute, bytes),
+        (windows.Scheme(windows.by_words, 10, 3, False, none), windows.word_settler, substring_dedup.brute, bytes.split),
+    ):
+        out = repeats.Records()
+        list(windows.cutter(scheme, chunk)(((i, 0, t) for i, t in text), out))
+        got = covered(repeats.settled(out, settle(scheme)), scheme.k, {i: len(split(t)) for i, t in text})
+        assert got == {x[0]: x[2] for x in brute(few, scheme.k) if x[2]}
+
+
+def test_equal_hashes_of_different_strings():
     """With all hashes equal, the comparison of bytes alone must tell windows apart."""
-    buf = b"abcdefgh" + b"abcdefgh" + b"12345678"
-    scheme = windows.Scheme(windows.by_bytes, 8, 2, False, 1, np.zeros(0, np.uint64))
-    s = windows.by_bytes(buf)
+    s = windows.by_bytes(b"abcdefgh" + b"abcdefgh" + b"12345678")
 
     class Flat:
         def at(self, a, b):
             return np.zeros(len(a), np.uint64)
 
-    hit, _ = windows.repeated(s, Flat(), np.array([0, 8, 16]), np.array([1, 2, 3]), np.array([0, 0, 0]), scheme)
-    assert hit.tolist() == [True, True, False]
+    hit, on = windows.repeated(s, Flat(), np.array([0, 8, 16]), np.array([1, 2, 3]), np.array([0, 0, 0]), 8)
+    assert hit.tolist() == [False, True, False] and on.tolist() == [True, False, True]
+
+
+@given(st.lists(st.binary(max_size=40).map(lambda b: bytes(x % 3 + 1 for x in b)), max_size=30))
+def test_multikey_sort(strings):
+    buf = np.frombuffer(b"".join(s.ljust(48, b"\0") for s in strings), np.uint8)
+    begin = np.arange(len(strings)) * 48
+    order, common = suffix_dedup.multikey_sort(lambda i, at: windows.eight(buf, begin[i] + at), len(strings), 48)
+    assert [strings[i] for i in order] == sorted(strings)
+    for k in range(1, len(strings)):
+        a, b = (strings[order[k - j]].ljust(48, b"\0") for j in (1, 0))
+        assert common[k] == next((i for i in range(48) if a[i] != b[i]), 48)
+
+
+@pytest.mark.parametrize("op", [substring_dedup, suffix_dedup, line_dedup])
+def test_keys_that_would_overfill_a_bucket(op, spark, monkeypatch):
+    """One passage in every document: its keys are dealt to many buckets, and the result is that of brute force."""
+    rng = random.Random(4)
+    passage = "\n".join(words(rng, 12) for _ in range(8))
+    rows = [(i, f"{words(rng, 20)}\n{passage}\n{words(rng, 20)}") for i in range(120)]
+    found = []
+    real = repeats.hot_keys
+    monkeypatch.setattr(repeats, "hot_keys", lambda *a: found.append(real(*a)) or found[-1])
+    got = op.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(12))
+    assert tuples(got) == sorted(op.brute(rows), key=repr) and len(found[0])
 
 
 def brute_fp(text, n=3):
