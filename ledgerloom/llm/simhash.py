@@ -9,7 +9,7 @@ fingerprints / leaf); each pair of subtrees that is left is a task's work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,13 +91,18 @@ def _pairs(heavy: set[tuple[int, int]], budget: int) -> list[tuple[tuple[int, in
     return out
 
 
-def _traverse(a: np.ndarray, b: np.ndarray, same: bool, budget: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two sorted arrays of distinct fingerprints that differ in 1 to ``budget`` bits.
+def traverse(
+    a: np.ndarray, b: np.ndarray, same: bool, budget: int, bits: int = 64, equal: bool = False,
+    skip: Callable[..., np.ndarray] | None = None, most: int = 1 << 19,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two sorted arrays of fingerprints that differ in at most ``budget`` of the first ``bits`` bits.
 
     Node pairs are ranges of the arrays that share their leading bits; at most about ``most`` of them
-    are held for a level, the rest wait on a stack.
+    are held for a level, the rest wait on a stack. Pairs of equal fingerprints come only if ``equal``;
+    node pairs for which ``skip`` (of the four ends) is true are left out.
     """
     ones: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    seen = ~np.uint64(0) << np.uint64(64 - bits)
 
     def count(bit: int) -> tuple[np.ndarray, np.ndarray]:
         if bit not in ones:
@@ -115,18 +120,20 @@ def _traverse(a: np.ndarray, b: np.ndarray, same: bool, budget: int, most: int =
             h = len(al) // 2
             stack += [(bit, al[h:], ah[h:], bl[h:], bh[h:], err[h:]), (bit, al[:h], ah[:h], bl[:h], bh[:h], err[:h])]
             continue
+        if skip is not None:
+            al, ah, bl, bh, err = (x[~skip(al, ah, bl, bh)] for x in (al, ah, bl, bh, err))
         na, nb = ah - al, bh - bl
-        small = (na * nb <= 16) | (bit == 64)
+        small = (na * nb <= 16) | ((bit == bits) & (na * nb <= most))
         if small.any():
             s = np.flatnonzero(small)
-            for lo in range(0, len(s), most // 16):
-                t = s[lo:lo + most // 16]
+            part = np.cumsum(na[s] * nb[s]) // most
+            for t in np.split(s, np.flatnonzero(np.diff(part)) + 1):
                 n = na[t] * nb[t]
                 rep = np.repeat(t, n)
                 k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 i, j = al[rep] + k // nb[rep], bl[rep] + k % nb[rep]
-                d = np.bitwise_count(a[i] ^ b[j])
-                keep = (d <= budget) & (d > 0)
+                d = np.bitwise_count((a[i] ^ b[j]) & seen)
+                keep = d <= budget if equal else (d <= budget) & (d > 0)
                 if same:
                     keep &= i < j
                 if keep.any():
@@ -135,18 +142,21 @@ def _traverse(a: np.ndarray, b: np.ndarray, same: bool, budget: int, most: int =
             al, ah, bl, bh, err = al[r], ah[r], bl[r], bh[r], err[r]
         if not len(al):
             continue
-        ca, cb = count(bit)
-        am, bm = ah - (ca[ah] - ca[al]), bh - (cb[bh] - cb[bl])
+        if bit == bits:  # large node pairs without bits left: halves against halves
+            am, bm = (al + ah) // 2, (bl + bh) // 2
+        else:
+            ca, cb = count(bit)
+            am, bm = ah - (ca[ah] - ca[al]), bh - (cb[bh] - cb[bl])
         twin = (al == bl) & (ah == bh) if same else np.zeros(len(al), bool)
         parts = []
-        for x, y, e in ((0, 0, 0), (1, 1, 0), (0, 1, 1), (1, 0, 1)):
+        for x, y, e in ((0, 0, 0), (1, 1, 0), (0, 1, int(bit < bits)), (1, 0, int(bit < bits))):
             cl, ch = (al, am) if x == 0 else (am, ah)
             dl, dh = (bl, bm) if y == 0 else (bm, bh)
             keep = (ch > cl) & (dh > dl) & (err + e <= budget)
             if (x, y) == (1, 0):
                 keep &= ~twin  # a node with itself: the mirror image of (0, 1)
             parts.append((cl[keep], ch[keep], dl[keep], dh[keep], err[keep] + e))
-        stack.append((bit + 1, *(np.concatenate([p[i] for p in parts]) for i in range(5))))
+        stack.append((min(bit + 1, bits), *(np.concatenate([p[i] for p in parts]) for i in range(5))))
 
 
 def links(fps: DataFrame, budget: int, leaf: int = 16384, most_leaves: int = 4096) -> DataFrame:
@@ -223,7 +233,7 @@ def links(fps: DataFrame, budget: int, leaf: int = 16384, most_leaves: int = 409
                 continue
             both = a if same else np.concatenate((a, b))
             root, wait = None, []
-            for last, (i, j) in _with_last(_traverse(a, b, same, budget)):
+            for last, (i, j) in _with_last(traverse(a, b, same, budget)):
                 wait.append((i, j if same else j + len(a)))
                 if last or sum(len(x) for x, _ in wait) > 2_000_000:
                     if root is not None:

@@ -51,3 +51,39 @@ def test_odd_tables(empty, doubled, rows):
     got = similar.one_of_each(doubled)
     assert got.where("doc_id IS NULL").count() == 0 and got.count() == got.select("doc_id").distinct().count()
     assert got.where("text IS NULL OR trim(text) = ''").count() <= 1
+
+
+def test_buckets_that_are_too_large_are_dealt_over_several_tasks(spark):
+    """A group of copies that fills a bucket: those near beyond doubt go first, and the components stay the same."""
+    rng = random.Random(12)
+    base, other = words(rng, 400), words(rng, 300)
+    texts = [edited(rng, base, 1) for _ in range(150)] + [edited(rng, other, 2) for _ in range(30)] + [words(rng, 80) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = []
+    for rows in (16384, 20):
+        got = similar.linked(docs, "doc_id", "text", 5, 0.8, bucket_rows=rows).toPandas()
+        found.append({frozenset(g.doc_id) for _, g in got.groupby("root")})
+    assert found[0] == found[1] == {frozenset(range(150)), frozenset(range(150, 180)), *(frozenset([i]) for i in range(180, 240))}
+
+
+def test_forest_is_spanning_and_least():
+    rng = np.random.default_rng(5)
+    i, j, d = rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400)
+    f = similar._forest(60, i, j, d)
+    assert (local_roots(60, i[f], j[f]) == local_roots(60, i, j)).all() and len(f) == 60 - len(set(local_roots(60, i, j)))
+    for most in range(9):  # so also among the edges of any length and less
+        few, own = d <= most, f[d[f] <= most]
+        assert (local_roots(60, i[own], j[own]) == local_roots(60, i[few], j[few])).all()
+
+
+def test_pairs_meet_with_the_promised_probability():
+    rng = np.random.default_rng(6)
+    tries, met, met_all = similar.Tries(231_000, 0.8, 0.99), 0, 0
+    for _ in range(300):
+        base = rng.integers(0, 2**63, 360, dtype=np.uint64)
+        twin = np.concatenate([base[:320], rng.integers(0, 2**63, 40, dtype=np.uint64)])
+        wide = np.array([similar.wide_fingerprint(np.sort(x)) for x in (base, twin)])
+        bucket, below = tries.deal(wide)
+        met += any(b[0] == b[1] and bin(int(e[0] ^ e[1]) & (2**64 - 1)).count("1") <= similar.ERRORS for b, e in zip(bucket, below, strict=True))
+        met_all += int(np.bitwise_count(wide[0] ^ wide[1]).sum()) <= tries.most
+    assert met >= 0.97 * 300 and met_all >= 0.98 * 300
