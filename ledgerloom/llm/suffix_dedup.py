@@ -70,6 +70,14 @@ def _reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
+def periodic(text: np.ndarray, gap: int, k: int) -> np.ndarray:
+    """For each window of ``k`` bytes whether it equals the one ``gap`` bytes before it."""
+    out = np.zeros(len(text) - k + 1, bool)
+    unlike = np.concatenate(([0], np.cumsum(text[gap:] != text[:-gap])))
+    out[gap:] = unlike[k:] == unlike[:-k] if len(unlike) > k else False
+    return out
+
+
 def suffix_settler(scheme: windows.Scheme) -> repeats.Settle:
     """Finds the repeated windows among packed strings."""
     k, m = scheme.k, scheme.m
@@ -87,12 +95,23 @@ def suffix_settler(scheme: windows.Scheme) -> repeats.Settle:
         before = np.where(np.concatenate(([False], r[1:] == r[:-1])), np.concatenate(([0], a[:-1])) + 1, 0)
         lo, hi = np.maximum(np.maximum(before, first[r]), a - (k - m)), np.minimum(a, first[r] + n[r] - 1)
         a, r, lo, hi = (x[lo <= hi] for x in (a, r, lo, hi))
+        width = np.cumsum(n) - n - first  # from a window's first byte to its number
+        hit, on = np.zeros(int(n.sum()), bool), np.ones(int(n.sum()), bool)
+        for i in np.flatnonzero(cols[repeats.OWN]).tolist():
+            x, y = np.searchsorted(r, [i, i + 1])
+            if y - x > 1:
+                gap = int(np.median(np.diff(a[x:y])))
+                again = periodic(text[first[i]:ends[i]], gap, k)
+                mine = slice(width[i] + first[i], width[i] + first[i] + n[i])
+                hit[mine] |= again | np.concatenate((again[gap:], np.zeros(min(gap, n[i]), bool)))
+                on[mine] &= ~again
+        left_out = np.concatenate(([0], np.cumsum(~on)))
+        keep = left_out[hi + width[r] + 1] - left_out[lo + width[r]] <= hi - lo
+        a, r, lo, hi = (x[keep] for x in (a, r, lo, hi))
         least, most = a - hi, a - lo  # bytes of the windows before the suffix
         right = multikey_sort(lambda i, at: windows.eight(text, a[i] + at), len(a), k)
         left = multikey_sort(lambda i, at: windows.eight(text, a[i] - at, back=True), len(a), k - m)
         least, most = np.maximum(least, k - _reach(*right)), np.minimum(most, _reach(*left))
-        width = np.cumsum(n) - n - first  # from a window's first byte to its number
-        hit, on = np.zeros(int(n.sum()), bool), np.ones(int(n.sum()), bool)
         may = np.flatnonzero(least <= most)
         for length in range(int(least[may].min(initial=k)), int(most[may].max(initial=-1)) + 1):
             some = may[(least[may] <= length) & (length <= most[may])]

@@ -78,12 +78,15 @@ class Scheme:
         return h
 
 
-def eight(raw: np.ndarray, at: np.ndarray, back: bool = False) -> np.ndarray:
+def eight(raw: np.ndarray, at: np.ndarray, back: bool = False, step: int = 1 << 16) -> np.ndarray:
     """The eight bytes from places ``at`` on (``back``: before them, the nearest first) as one number; zeros outside."""
-    steps = np.arange(8)
-    i = at[:, None] + (-1 - steps if back else steps)
-    inside = (i >= 0) & (i < len(raw))
-    return np.where(inside, raw[np.clip(i, 0, max(0, len(raw) - 1))], 0).astype(np.uint8).view(">u8").ravel().astype(np.uint64)
+    out = np.zeros(len(at), np.uint64)
+    way = -1 - np.arange(8) if back else np.arange(8)
+    for lo in range(0, len(at), step):
+        i = at[lo:lo + step, None] + way
+        inside = (i >= 0) & (i < len(raw))
+        out[lo:lo + step] = np.where(inside, raw[np.clip(i, 0, max(0, len(raw) - 1))], 0).astype(np.uint8).view(">u8").ravel()
+    return out
 
 
 def repeated(s: Symbols, roll: Rolling, pos: np.ndarray, doc: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -82,6 +82,27 @@ def test_multikey_sort(strings):
         assert common[k] == next((i for i in range(48) if a[i] != b[i]), 48)
 
 
+def test_texts_that_repeat_themselves():
+    """Texts of short periods, cut into pieces or not, against brute force; a long one costs no more than others."""
+    rng = random.Random(3)
+
+    def settle(rows, k, m, chunk):
+        scheme, out = windows.Scheme(windows.by_bytes, k, m, True, np.zeros(0, np.uint64)), repeats.Records()
+        list(windows.cutter(scheme, chunk)(((i, 0, t.encode()) for i, t in rows), out))
+        return repeats.settled(out, suffix_dedup.suffix_settler(scheme))
+
+    for _ in range(40):
+        rows = []
+        for i in range(rng.randint(1, 6)):
+            unit = "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))
+            rows.append((i, "".join(rng.choice([unit * rng.randint(1, 30), "".join(rng.choice("abc") for _ in range(rng.randint(1, 40)))]) for _ in range(5))))
+        k = rng.choice([6, 12, 20])
+        got = covered(settle(rows, k, rng.choice([2, 3, 5]), rng.choice([50, 1 << 20])), k, {i: len(t) for i, t in rows})
+        assert got == {x[0]: x[2] for x in suffix_dedup.brute(rows, k) if x[2]}
+    done = settle([(0, "x" * 300_000), (1, "ab " * 100_000)], 400, 32, 1 << 20)
+    assert covered(done, 400, {0: 300_000, 1: 300_000}) == {0: 300_000, 1: 300_000} and sum(map(len, done.text)) < 2000
+
+
 @pytest.mark.parametrize("op", [substring_dedup, suffix_dedup, line_dedup])
 def test_keys_that_would_overfill_a_bucket(op, spark, monkeypatch):
     """One passage in every document: its keys are dealt to many buckets, and the result is that of brute force."""
