@@ -1,14 +1,17 @@
 """SentencePiece BPE encoding by vectorised merge rounds, and decoding.
 
-The words of many texts lie one after another in flat arrays of symbols. In each round every word
-merges its leftmost pair of the best rank; merged symbols are then compacted away and finished words
-leave. The rounds end when no word has a pair that the vocabulary knows.
+The words of many texts lie one after another in flat arrays of symbols, cut further where two characters
+meet that no piece holds side by side. In each round every such segment merges, from the left, all pairs of
+its best rank; merged symbols are then compacted away and finished segments leave. The rounds end when no
+segment has a pair that the vocabulary knows. Pairs of one rank may only merge together if no pair that they
+can make ranks before them; where the vocabulary doesn't grant that, a segment merges the leftmost alone.
+
+Decoding takes ids alone and strings together the bytes of their pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +25,6 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 _WORD = re.compile(r" +[^ ]*")
 NONE = np.int64(2**62)
-#: Words with more characters than this are merged with a heap: rounds would each take one pair of theirs.
-LONG = 256
 
 
 class Pieces:
@@ -64,10 +65,18 @@ class Pieces:
         for c, i in self.symbol.items():
             if len(c) == 1:
                 self.of_char[ord(c)] = i
-        #: A word's ids, written out with commas; a star follows where ids hold bytes, and the word's
-        #: surface is then kept too.
+        # ranks whose merges can make a pair of the same or a better rank
+        own = np.full(self.width, -1, np.int64)
+        own[self.made] = self.rank
+        unsafe = [own[x][self.rank <= own[x]] for x in (self.keys // self.width, self.keys % self.width)]
+        self.safe = np.ones(len(ranks) + 1, bool)
+        self.safe[np.concatenate(unsafe)] = False
+        self.inside = np.array(sorted({ord(x) << 21 | ord(y) for p in self.id_of for x, y in zip(p, p[1:])}), np.int64)
+        #: What pieces decode to.
+        self.shown = [self.bytes_of.get(i, " \u2047 ".encode() if i == self.unk else b"" if i in self.special else p.replace(SPACE, " ").encode()) for i, p in enumerate(self.piece)]
+        self.is_byte = np.isin(np.arange(size), list(self.bytes_of))
+        #: A word's ids, written out with commas.
         self.memo: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
 
     def _ranked(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (or none) and piece of the pairs that begin at places ``at``."""
@@ -83,22 +92,29 @@ class Pieces:
         return rank, made
 
     def merge(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge the symbols of words (numbered, in order) until no pair is left: symbols, words.
+        """Merge the symbols of segments (numbered, in order) until no pair is left: symbols, segments.
 
         Only pairs next to a merge are looked up again.
         """
+        none = 2**31 - 1
         done = []
         rank, made = self._ranked(symbols, word, np.arange(len(symbols)))
         while len(symbols):
             start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best = np.minimum.reduceat(rank << 32 | np.arange(len(symbols)), start)
-            live = best >> 32 < 2**31 - 1
-            left = best[live] & np.int64(2**32 - 1)
+            long = np.diff(np.concatenate((start, [len(symbols)])))
+            best = np.minimum.reduceat(rank, start)
+            live = best < none
+            left = np.flatnonzero((rank == np.repeat(best, long)) & (rank < none))
+            # pairs that overlap: every other one of a row of neighbours, from the left
+            row = np.concatenate(([True], np.diff(left) != 1)) if len(left) else np.zeros(0, bool)
+            nth = np.arange(len(left)) - np.maximum.accumulate(np.where(row, np.arange(len(left)), 0))
+            first = np.concatenate(([True], word[left[1:]] != word[left[:-1]])) if len(left) else row
+            left = left[((nth % 2 == 0) & self.safe[rank[left]]) | first]
             symbols[left] = made[left]
             keep = np.ones(len(symbols), bool)
             keep[left + 1] = False
             if not live.all():
-                going = np.repeat(live, np.diff(np.concatenate((start, [len(symbols)]))))
+                going = np.repeat(live, long)
                 done.append((symbols[~going], word[~going]))
                 keep &= going
             left = (np.cumsum(keep) - 1)[left]
@@ -112,53 +128,31 @@ class Pieces:
         o = np.argsort(word, kind="stable")
         return symbols[o], word[o]
 
-    def merge_long(self, symbols: list[int]) -> list[int]:
-        """One word with a heap of its pairs."""
-        n = len(symbols)
-        s, nxt, prev = list(symbols), [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = []
-
-        def push(i: int) -> None:
-            if i >= 0 and nxt[i] >= 0 and (got := self.pairs.get(s[i] * self.width + s[nxt[i]])):
-                heapq.heappush(heap, (got[0], i, s[i], s[nxt[i]], got[1]))
-
-        for i in range(n):
-            push(i)
-        gone = [False] * n
-        while heap:
-            _, i, a, b, new = heapq.heappop(heap)
-            j = nxt[i]
-            if gone[i] or j < 0 or s[i] != a or s[j] != b:
-                continue
-            s[i], gone[j], nxt[i] = new, True, nxt[j]
-            if nxt[j] >= 0:
-                prev[nxt[j]] = i
-            push(prev[i])
-            push(i)
-        return [s[i] for i in range(n) if not gone[i]]
-
     def _learn(self, words: list[str]) -> None:
         """Put words into the memo; a word comes without the one space that each has in front."""
-        short = [w for w in words if len(w) < LONG]
-        flat = SPACE + SPACE.join(short).replace(" ", SPACE)
-        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
-        lens = np.fromiter(map(len, short), np.int64, len(short)) + 1
-        merged, word = self.merge(self.of_char[codes].astype(np.int64), np.repeat(np.arange(len(short)), lens))
-        bounds = np.searchsorted(word, np.arange(len(short) + 1))
+        flat = SPACE + SPACE.join(words).replace(" ", SPACE)
+        codes = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        begin = np.zeros(len(codes), bool)
+        begin[np.cumsum(lens) - lens] = True
+        both = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.inside, both), len(self.inside) - 1)
+        apart = begin.copy()
+        apart[1:] |= self.inside[at] != both
+        segment = np.cumsum(apart) - 1
+        merged, segment = self.merge(self.of_char[codes].astype(np.int64), segment)
+        word = (np.cumsum(begin) - 1)[apart][segment]
+        bounds = np.searchsorted(word, np.arange(len(words) + 1))
         plain = merged < len(self.piece)
-        fine = np.logical_and.reduceat(plain, bounds[:-1]) if len(short) else np.zeros(0, bool)
-        written, memo = self.written, self.memo
-        ids = [written[i] for i in np.where(plain, merged, 0).tolist()]
+        fine = np.logical_and.reduceat(plain, bounds[:-1])
+        ids = [self.written[i] for i in np.where(plain, merged, 0).tolist()]
         ends = bounds.tolist()
-        memo.update(zip(short, [",".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+        self.memo.update(zip(words, [",".join(ids[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
         for i in np.flatnonzero(~fine).tolist():
-            self._spell(short[i], merged[ends[i]:ends[i + 1]].tolist())
-        for w in words:
-            if len(w) >= LONG:
-                self._spell(w, self.merge_long(self.of_char[np.frombuffer((SPACE + w.replace(" ", SPACE)).encode("utf-32-le", "surrogatepass"), np.uint32)].tolist()))
+            self.memo[words[i]] = self._spelt(words[i], merged[ends[i]:ends[i + 1]].tolist())
 
-    def _spell(self, w: str, symbols: list[int]) -> None:
-        """One word, with characters that have no piece as bytes."""
+    def _spelt(self, w: str, symbols: list[int]) -> str:
+        """One word's ids, with characters that have no piece as bytes."""
         text, ids, at = SPACE + w.replace(" ", SPACE), [], 0
         for x in symbols:
             if x < len(self.piece):
@@ -167,31 +161,28 @@ class Pieces:
             else:
                 ids += [self.byte_id.get(c, self.unk) for c in text[at].encode("utf-8", "surrogatepass")]
                 at += 1
-        self.memo[w] = ",".join(map(str, ids)) + "*"
-        self.odd[w] = self.surface(ids)[1:]
+        return ",".join(map(str, ids))
 
-    def surface(self, ids: list[int]) -> str:
-        """The text of ids, spaces for their sign, nothing taken off the front."""
+    def _spelt_out(self, ids: list[int]) -> bytes:
+        """What ids with pieces of single bytes decode to: bytes in a row that aren't UTF-8 are replaced."""
         out, held = [], b""
         for i in ids:
             if i in self.bytes_of:
                 held += self.bytes_of[i]
                 continue
-            if held:
-                out.append(_utf8(held))
-                held = b""
-            if i == self.unk:
-                out.append(" ⁇ ")
-            elif i not in self.special:
-                out.append(self.piece[i])
-        if held:
-            out.append(_utf8(held))
-        return "".join(out).replace(SPACE, " ")
+            out.append(held.decode("utf-8", "replace").encode())
+            held = b""
+            out.append(self.shown[i])
+        return b"".join([*out, held.decode("utf-8", "replace").encode()])
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The UTF-8 text of each array of ids; the space that encoding put in front goes."""
+        shown = self.shown
+        out = [self._spelt_out(x.tolist()) if self.is_byte[x].any() else b"".join([shown[i] for i in x.tolist()]) for x in ids]
+        return [t[1:] if t.startswith(b" ") else t for t in out]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids; the space that encoding put in front goes."""
-        text = self.surface(ids)
-        return text[1:] if text.startswith(" ") else text
+        return self.decoded([np.array(ids, np.int64)])[0].decode()
 
     def words(self, text: str) -> list[str]:
         """Words without the one space in front; more spaces in front belong to the word."""
@@ -199,36 +190,24 @@ class Pieces:
         out = text.split(" ")
         return out if "" not in out else [w[1:] for w in _WORD.findall(" " + text)]
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """For each text its ids, written out with commas, and their decoding.
-
-        A word whose pieces hold all its characters decodes to itself.
-        """
+    def encoded(self, texts: list[str]) -> Iterator[str]:
+        """For each text its ids, written out with commas."""
         if len(self.memo) > 400_000:
             self.memo.clear()
-            self.odd.clear()
         split = [self.words(t) if t else [] for t in texts]
         new = set().union(*split) - self.memo.keys()
         if new:
             self._learn(list(new))
-        ids, odd = self.memo.__getitem__, self.odd
         for ws in split:
-            written = ",".join(map(ids, ws))
-            if "*" in written:
-                yield written.replace("*", ""), " ".join([odd.get(w, w) for w in ws])
-            else:
-                yield written, " ".join(ws)
+            yield ",".join(map(self.memo.__getitem__, ws))
 
     def encode(self, text: str) -> list[int]:
-        return _ids(next(self.encoded([text]))[0])
-
-
-def _ids(written: str) -> list[int]:
-    return list(map(int, written.split(","))) if written else []
+        return parsed(next(self.encoded([text]))).tolist()
 
 
-def _utf8(raw: bytes) -> str:
-    return raw.decode("utf-8", "replace")
+def parsed(written: str) -> np.ndarray:
+    """Ids that are written out with commas."""
+    return np.fromstring(written, np.int32, sep=",") if written else np.zeros(0, np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -258,7 +237,7 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
         model = pieces(model_file)
         for b in batches:
             for lo, hi, texts in _groups(b.column(1)):
-                ids = [_ids(x) for x, _ in model.encoded(texts)]
+                ids = [parsed(x) for x in model.encoded(texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -271,29 +250,29 @@ def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_file)
         for b in batches:
-            texts = [model.decode(x.as_py() or []) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            ids = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int32) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.decoded(ids), pa.binary()).cast(pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of each row's encoding and its decoding.
+    """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of each row's ids and of what they decode to.
 
-    A text's ids and its decoding are put together from its words'.
+    Null texts are empty: no ids, and '' decoded. Rows that repeat come out repeated; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_file)
         for b in batches:
             for lo, hi, texts in _groups(b.column(1)):
-                n, ids, back = [], [], []
-                for written, text in model.encoded(texts):
-                    n.append(written.count(",") + 1 if written else 0)
-                    ids.append(hashlib.sha256(written.encode()).hexdigest())
-                    back.append(hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest())
+                written = list(model.encoded(texts))
+                ids = [parsed(x) for x in written]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)],
+                    [
+                        b.column(0).slice(lo, hi - lo), pa.array(list(map(len, ids)), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in written]),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in model.decoded(ids)]),
+                    ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
@@ -302,17 +281,18 @@ def digest(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id``, ``n_tokens``, ``ids``, and ``decoded_sha256`` of what the ids decode to."""
+    """Per row: ``doc_id``, ``n_tokens``, ``ids``, and ``decoded_sha256`` of what the ids decode to. Nulls as in ``digest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_file)
         for b in batches:
             for lo, hi, texts in _groups(b.column(1)):
-                got = list(model.encoded(texts))
-                ids = pa.array([np.fromstring(x, np.int32, sep=",") if x else np.zeros(0, np.int32) for x, _ in got], pa.list_(pa.int32()))
-                back = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for _, t in got]
-                n = pa.array([len(x) for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), n, ids, pa.array(back)], ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+                ids = [parsed(x) for x in model.encoded(texts)]
+                back = [hashlib.sha256(x).hexdigest() for x in model.decoded(ids)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(lo, hi - lo), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(back)],
+                    ["doc_id", "n_tokens", "ids", "decoded_sha256"],
+                )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
