@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,13 +14,16 @@ from pyspark.sql import Window as W
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; choose a folder only where none is set."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``, now in use. Where none is set a folder is made, but only on a
+    local master: executors of a cluster could not read it."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir", "")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        shared = sc.getConf().get("spark.checkpoint.dir", "")
+        if not shared and not re.fullmatch(r"local(\[[^]-]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerloom-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def ship(spark: SparkSession) -> None:
@@ -65,27 +69,32 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(F.col(text_col)))).head()[0] or 0
 
 
-def rank_within(
-    df: DataFrame, group: list[str], order: list[Column], spread: Column, name: str, buckets: int = 256
-) -> DataFrame:
+def spread_over(key: Column, cells: int = 256) -> list[Column]:
+    """One cell of ``cells`` that ``key`` decides, for ``rank_within``."""
+    return [F.pmod(key, F.lit(cells)).cast("int")]
+
+
+def rank_within(df: DataFrame, group: list[str], order: list[Column], cells: list[Column], name: str) -> DataFrame:
     """Adds ``name``: gapless ranks from 0 in each group, without bringing a group into one task.
 
-    ``spread`` deals a group's rows to ``buckets`` cells; rows are ranked inside a cell, and a cell
-    starts where the counts of the group's earlier cells end. Only the counts (groups x buckets)
-    meet in one place.
+    ``cells`` deals a group's rows to cells that follow each other in the order of their columns; rows are
+    ranked by ``order`` inside a cell, and a cell starts where the counts of the group's earlier cells
+    end. Only the counts (groups x cells) meet in one place.
     """
-    cell = df.withColumn("_cell", F.pmod(spread, F.lit(buckets)).cast("int"))
-    counts = cell.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    names = [f"_cell{i}" for i in range(len(cells))]
+    cell = df.withColumns(dict(zip(names, cells, strict=True)))
+    counts = cell.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(
-        *[F.col(g).alias(f"_g_{g}") for g in group],
-        F.col("_cell").alias("_c"),
-        (F.sum("_n").over(W.partitionBy(*group).orderBy("_cell")) - F.col("_n")).alias("_start"),
+        *[F.col(g).alias(f"_g_{g}") for g in [*group, *names]],
+        (F.sum("_n").over(W.partitionBy(*group).orderBy(*names)) - F.col("_n")).alias("_start"),
     )
-    inner = F.row_number().over(W.partitionBy(*group, "_cell").orderBy(*order))
+    inner = F.row_number().over(W.partitionBy(*group, *names).orderBy(*order))
     ranked = cell.withColumn("_in", inner)
-    on = (F.col("_cell") == F.col("_c"))
+    on = F.lit(True)
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    for g in names:
+        on = on & (F.col(g) == F.col(f"_g_{g}"))
     out = ranked.join(starts, on, "inner").withColumn(name, (F.col("_start") + F.col("_in") - 1).cast("long"))
     return out.select(*df.columns, name)
 

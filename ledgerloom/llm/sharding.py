@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, rank_within
+from ledgerloom.llm.common import cut, rank_within, spread_over
 
 
 def shards(
@@ -36,15 +36,20 @@ def shards(
         F.crc32(text).cast("long").alias("text_crc32"),
         F.unhex(F.md5(text)).alias("g"),
     )
-    # a row's number makes rows that repeat each other different; the checkpoint fixes it
+    # ``row`` tells rows apart; the checkpoint fixes it. All that is decided follows from ``x``, which is what
+    # the row holds and, among rows that repeat each other, its number: how rows lie in partitions has no effect.
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    alike = rows.groupBy("doc_id", "g").count().where("count > 1").select(F.col("doc_id").alias("ad"), F.col("g").alias("ag"))
+    on = F.col("doc_id").eqNullSafe(F.col("ad")) & (F.col("g") == F.col("ag"))
+    again = rank_within(rows.join(alike, on, "left_semi"), ["doc_id", "g"], [F.col("row")], spread_over(F.xxhash64("row")), "n")
+    rows = cut(rows.join(alike, on, "left_anti").withColumn("n", F.lit(0).cast("long")).unionByName(again).withColumn("x", F.xxhash64("doc_id", "g", "n")).drop("n"))
     # cut, so that both sides of the joins below are dealt anew and Spark can split a large group
     groups = cut(rows.groupBy("g").count().where("count > 1").select(F.col("g").alias("h")))
     table = cut(rows.join(groups, rows.g == groups.h, "left").withColumn("linked", F.col("h").isNotNull()).drop("h"))
     n = table.count()
     cap = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
-    free = table.where("not linked").select("row", F.xxhash64("row", "g").alias("x"))
-    placed = table.where("linked").select("row", "g", F.pmod(F.xxhash64("row"), F.lit(n_shards)).cast("int").alias("shard"))
+    free = table.where("not linked").select("row", "x")
+    placed = table.where("linked").select("row", "x", "g", F.pmod(F.xxhash64("x"), F.lit(n_shards)).cast("int").alias("shard"))
 
     nth, wishes = 0, None
     while True:
@@ -65,15 +70,15 @@ def shards(
             break
         wishes = asking
         wish = placed.join(leave, (placed.g == F.col("wg")) & (placed.shard == F.col("ws")))
-        wish = wish.withColumn("at", F.expr(f"pmod(xxhash64(row, {nth}), aggregate(goals, 0L, (a, x) -> a + x.room))"))
-        wish = wish.select("row", "g", F.expr(
+        wish = wish.withColumn("at", F.expr(f"pmod(xxhash64(x, {nth}), aggregate(goals, 0L, (a, x) -> a + x.room))"))
+        wish = wish.select("row", "x", "g", F.expr(
             "aggregate(goals, named_struct('left', at, 'to', -1), (a, x) -> CASE WHEN a.to >= 0 THEN a WHEN a.left < x.room "
             "THEN named_struct('left', a.left, 'to', x.shard) ELSE named_struct('left', a.left - x.room, 'to', a.to) END).to"
         ).alias("to"))
-        asked = rank_within(wish, ["to"], [F.xxhash64("g"), F.col("row")], F.xxhash64("row"), "nth")
+        asked = rank_within(wish, ["to"], [F.xxhash64("g"), F.col("x")], spread_over(F.col("x")), "nth")
         room_to = F.element_at(F.array(*[F.lit(r) for r in room]), F.col("to") + 1)
         moved = asked.where(F.col("nth") < room_to).select(F.col("row").alias("mr"), "to")
-        placed = placed.join(moved, placed.row == moved.mr, "left").select("row", "g", F.coalesce("to", "shard").alias("shard"))
+        placed = placed.join(moved, placed.row == moved.mr, "left").select("row", "x", "g", F.coalesce("to", "shard").alias("shard"))
         nth += 1
     placed = _settled(cut(placed), cap)
 
@@ -82,11 +87,11 @@ def shards(
     for s in range(n_shards):
         total += cap[s] - load.get(s, 0)
         bounds.append(total)
-    ranks = rank_within(free, [], [F.col("x"), F.col("row")], F.col("x"), "nth", buckets=4096)
+    ranks = rank_within(free, [], [F.col("x")], spread_over(F.col("x"), 4096), "nth")
     into = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("nth")))
     homes = placed.select("row", "shard").unionByName(ranks.select("row", into.alias("shard"))).withColumnRenamed("row", "r")
-    out = table.join(homes, table.row == F.col("r")).select("doc_id", "size", "text_crc32", "shard", "row")
-    out = rank_within(cut(out), ["shard"], [F.col("doc_id"), F.col("row")], F.xxhash64("row"), "slot")
+    out = table.join(homes, table.row == F.col("r")).select("doc_id", "size", "text_crc32", "shard", "x")
+    out = rank_within(cut(out), ["shard"], [F.col("doc_id"), F.col("x")], spread_over(F.col("x")), "slot")
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot",
         F.lit(None).cast("int").alias("grown_shard"),
@@ -94,7 +99,7 @@ def shards(
 
 
 def _settled(placed: DataFrame, cap: list[int]) -> DataFrame:
-    """``placed`` (row, g, shard) with its split groups placed anew, and no shard over ``cap``.
+    """``placed`` (row, x, g, shard) with its split groups placed anew, and no shard over ``cap``.
 
     A group is split if it is in more shards than it needs; groups of a shard over its capacity go with
     them. They are laid end to end, the largest first, along the room that they leave, the shard with
@@ -121,11 +126,11 @@ def _settled(placed: DataFrame, cap: list[int]) -> DataFrame:
     starts = anew.withColumn("inner", inner).join(cells, F.col("cell") == F.col("k"))
     starts = cut(starts.select(F.col("g").alias("sg"), (F.col("base") + F.col("inner")).alias("start")))
 
-    stay = cut(placed.join(starts, placed.g == starts.sg, "left_anti").select("row", "g", "shard"))
+    stay = cut(placed.join(starts, placed.g == starts.sg, "left_anti").select("row", "x", "g", "shard"))
     load = {r.shard: r["count"] for r in stay.groupBy("shard").count().collect()}
     room = sorted(((cap[s] - load.get(s, 0), s) for s in range(n_shards)), key=lambda x: (-x[0], x[1]))
     ends = list(accumulate(r for r, _ in room))
-    moving = rank_within(placed.join(starts, placed.g == starts.sg).select("row", "g", "start"), ["g"], [F.col("row")], F.xxhash64("row"), "nth")
+    moving = rank_within(placed.join(starts, placed.g == starts.sg).select("row", "x", "g", "start"), ["g"], [F.col("x")], spread_over(F.col("x")), "nth")
     at = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("start") + F.col("nth")))
     to = F.element_at(F.array(*[F.lit(s) for _, s in room]), at + 1)
-    return cut(stay.unionByName(moving.select("row", "g", to.alias("shard"))))
+    return cut(stay.unionByName(moving.select("row", "x", "g", to.alias("shard"))))

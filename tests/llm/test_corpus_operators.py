@@ -174,12 +174,21 @@ def test_mixing(docs, rows, empty, doubled):
     for k, t in per["target"].items():
         assert math.isclose(t, target[k if isinstance(k, str) else None])
     assert (got.taken <= 2 * got["size"]).all() and (got["size"] == [len((dict(rows)[i] or "").encode().split()) for i in got.doc_id]).all()
+    taken = got.groupby("source", dropna=False).taken.sum()
+    assert (abs(taken - per["target"]) <= got["size"].max()).all()
     copies = mixing.mix(docs).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"].to_dict()
     assert copies == {r.doc_id: r.copies for r in got.itertuples() if r.copies}
     assert mixing.mix(docs).columns == docs.columns
     assert mixing.rates(empty).count() == 0 and mixing.rates(doubled).count() == doubled.count()
 
 
+def test_mixing_comes_near_its_targets(spark):
+    got = mixing.digest(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source"), "doc_id").toPandas()
+    per = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(per.taken / per.target - 1) < 0.02).all()
+
+
 def test_sharding(docs, empty, doubled):
     for table in (docs, doubled):
         got = sharding.shards(table).toPandas()

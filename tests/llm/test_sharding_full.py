@@ -1,10 +1,18 @@
-"""Equal texts share a shard however many rows have copies."""
+"""Equal texts share a shard however many rows have copies; where rows lie has no effect."""
 
 import pytest
 
 from ledgerloom.llm import sharding
 
 
+def test_shards_do_not_depend_on_partitions(spark, docs, doubled):
+    def of(table):
+        return sorted((repr(tuple(r)) for r in sharding.shards(table).select("doc_id", "text_crc32", "shard", "slot").collect()))
+
+    for table in (docs, doubled):
+        assert of(table.repartition(7)) == of(table.coalesce(1).orderBy("text", "doc_id"))
+
+
 @pytest.mark.parametrize(("linked", "size"), [(1.0, 10), (0.95, 10), (0.95, 2)])
 def test_groups_stay_together_where_most_rows_have_copies(spark, linked, size):
     n = 3200
