@@ -33,6 +33,8 @@ EDGE = ".,;:!?\"'`()[]{}<>«»‘’‚“”„‹›…-–—_*#%&/\\|~^+="
 #: stems' evidence, ``MOST`` at most). What is believed of their weights before any training.
 PRIOR = np.array([-3.0, 1.2, 1.2, 0.2])
 MOST = 12.0
+#: Letters that a misspelt word may have after its stem.
+ENDING = 2
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -72,8 +74,8 @@ class Trie:
                 return node[""]
         return None
 
-    def near(self, word: str, most: int = 1) -> list[str]:
-        """The stems within ``most`` edits of the whole ``word``.
+    def near(self, word: str, most: int = 1, ending: int = 0) -> list[str]:
+        """The stems within ``most`` edits of ``word``, or of it without up to ``ending`` last letters.
 
         The automaton's states are rows of edit distances; a branch of the trie is left as soon as
         none of its state's distances is within reach. Swapped neighbours count as one edit.
@@ -82,7 +84,7 @@ class Trie:
         stack = [(self.root, "", list(range(len(word) + 1)), None)]
         while stack:
             node, stem, row, older = stack.pop()
-            if "" in node and row[-1] <= most:
+            if "" in node and min(row[max(0, len(word) - ending):]) <= most:
                 found.append(stem)
             for c, kid in node.items():
                 if not c:
@@ -103,8 +105,8 @@ class Lexicon:
     """Finds hits. ``plain`` and ``misspelt``: a stem's evidence (log-odds) as written and near to it.
 
     Words one edit apart become equal when each loses a letter at most, so only words that share such
-    a shortened form with a stem are taken to the automaton. Stems under 5 letters are only found as
-    written.
+    a shortened form with a stem, as they are or without an ending of one or two letters, are taken to the
+    automaton. Stems under 5 letters are only found as written. Words may be of any length.
     """
 
     plain: dict[str, float]
@@ -128,15 +130,17 @@ class Lexicon:
     def look_up(self, raw: str) -> tuple[int, str]:
         """(0: no hit, 1: plain, 2: misspelt; stem)."""
         word = plain(raw)
-        if len(word) < 4 or len(word) > 64:
+        if len(word) < 4:
             return 0, ""
         if word[:4] in self.firsts and (stem := self.trie.prefix(word)):
             return 1, stem
         other = word.translate(LOOKALIKE)
         if other != word and other[:4] in self.firsts and (stem := self.trie.prefix(other)) in self.misspelt:
             return 2, stem
-        if len(other) in self.lengths and not self.reach.isdisjoint(shortened(other)) and (stems := self.long.near(other)):
-            return 2, max(stems, key=lambda s: (self.misspelt[s], s))
+        for cut_off in range(min(ENDING, len(other)) + 1):
+            head = other[: len(other) - cut_off]
+            if len(head) in self.lengths and not self.reach.isdisjoint(shortened(head)) and (stems := self.long.near(other, 1, ENDING)):
+                return 2, max(stems, key=lambda s: (self.misspelt[s], s))
         return 0, ""
 
     def hits(self, text: str | None) -> tuple[list[str], dict[str, tuple[int, str]]]:
@@ -151,7 +155,9 @@ class Lexicon:
         for w in set(words):
             got = memo.get(w)
             if got is None:
-                got = memo[w] = self.look_up(w)
+                got = self.look_up(w)
+                if len(w) < 100:
+                    memo[w] = got
             if got[0]:
                 found[w] = got
         return words, found
@@ -207,36 +213,44 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _least(text: np.ndarray, window: int = 24, step: int = 1 << 22) -> int:
+    """A number that near copies mostly share: two least hashes, under different orders, of a text's windows of bytes."""
+    window = min(window, max(1, len(text)))
+    least = [2**64 - 1] * 2
+    for lo in range(0, max(1, len(text) - window + 1), step):
+        h = Rolling(BYTE_CODES[text[lo:lo + step + window - 1]]).every(window)
+        if len(h):
+            least = [min(least[0], int(h.min())), min(least[1], int((h * np.uint64(0x9E3779B97F4A7C15)).min()))]
+    return (least[0] * 31 + least[1]) % 2**64
+
+
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    most_rows: int = 50_000, purity: float = 0.8, least: int = 4, most_stems: int = 5_000,
+    most_rows: int = 50_000, purity: float = 0.8, least: int = 4, longest: int = 32,
 ) -> Model:
     """Learn from labelled rows outside the held-out third.
 
     ``most_rows`` bounds the labelled rows that are used (chosen by a hash of the id), so their ids
-    may be broadcast; ``most_stems`` bounds the lexicon. A stem is a beginning of words, of 4 to 12
-    letters, that ``least`` toxic texts have and of whose texts the share ``purity`` is toxic (with one
-    clean text added); of those that begin alike the shortest, drawn out as far as most of its texts go. Without any toxic label the lexicon is empty and every score
-    low.
+    may be broadcast and all that follows from them is bounded too; they are read once and kept in a checkpoint. A
+    stem is a beginning of words, of 4 to ``longest`` letters, that ``least`` toxic texts have and of whose texts the share
+    ``purity`` is toxic (with one clean text added); of those that begin alike the shortest, drawn out as far as most of its
+    texts go. Null ids and labels, and null texts, teach nothing; of rows that repeat, and of near copies under one
+    label, one does. Without any toxic label the lexicon is empty and every score low.
     """
     rows = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null")
     rows = rows.where(~held_out("i")).groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most_rows)
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            least = []
-            for t in b.column(1):
-                x = np.frombuffer(t.as_buffer(), np.uint8)[: 1 << 22] if t.is_valid else np.zeros(0, np.uint8)
-                h = Rolling(BYTE_CODES[x]).every(min(24, max(1, len(x))))
-                least.append(int(h.min()) if len(h) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], ["i", "y", "sketch"])
-
-    # near copies mostly share their least window hash; of each such family one speaks for all, else
-    # whatever a copied text says would look like a sign
-    marked = text.join(F.broadcast(rows), text.doc_id == rows.i).select("i", "text", "y").mapInArrow(sketch, "i long, y int, sketch long")
-    rows = cut(marked.groupBy("sketch", "y").agg(F.min("i").alias("i")).select("i", "y"))
-    known = text.join(F.broadcast(rows), text.doc_id == rows.i).select("text", "y")
+            least = np.array([_least(np.frombuffer(t.as_buffer(), np.uint8)) for t in b.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(least.view(np.int64))], ["i", "text", "y", "sketch"])
+
+    # of near copies one speaks for all, else whatever a copied text says would look like a sign
+    marked = text.join(F.broadcast(rows), text.doc_id == rows.i).select("i", "text", "y").mapInArrow(sketch, "i long, text string, y int, sketch long")
+    marked = cut(marked)
+    one = marked.groupBy(F.col("sketch").alias("s"), F.col("y").alias("sy")).agg(F.min("i").alias("si"))
+    known = marked.join(one, (F.col("sketch") == F.col("s")) & (F.col("y") == F.col("sy")) & (F.col("i") == F.col("si")), "left_semi").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
@@ -255,7 +269,7 @@ def train(
                 if not t.is_valid or (x := t.as_py()) in seen:
                     continue
                 seen.add(x)
-                words = {p[:12] for w in set(x.split()) if len(p := plain(w)) >= 4}
+                words = {p[:longest] for w in set(x.split()) if len(p := plain(w)) >= 4}
                 n.update(words)
                 if y:
                     bad.update(words)
@@ -267,7 +281,7 @@ def train(
     words = known.mapInArrow(count, "word string, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     heads = words.select(F.explode(F.transform(F.sequence(F.lit(4), F.char_length("word")), lambda k: F.substring(F.col("word"), F.lit(1), k))).alias("stem"), "n", "bad")
     pure = heads.groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    pure = pure.where((F.col("bad") >= least) & (F.col("bad") / (F.col("n") + 1) >= purity)).orderBy(F.desc("bad"), F.char_length("stem"), "stem").limit(4 * most_stems)
+    pure = pure.where((F.col("bad") >= least) & (F.col("bad") / (F.col("n") + 1) >= purity))
     found = {r.stem: (r.n, r.bad) for r in pure.collect()}
     longer: dict[str, list[str]] = {}
     for x in found:
@@ -280,7 +294,6 @@ def train(
             x = best  # as long a stem as its texts allow
         n, bad = found[x]
         stems[x] = math.log((bad + 0.5) / (n - bad + 0.5))
-    stems = dict(sorted(stems.items(), key=lambda x: -x[1])[:most_stems])
     draft = Lexicon(stems, dict.fromkeys(stems, 1.0))
 
     def misspelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

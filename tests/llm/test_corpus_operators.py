@@ -302,6 +302,8 @@ def test_automaton_finds_what_edit_distance_says():
     trie = toxicity.Trie(stems)
     for w in ["moron", "moran", "mron", "omron", "mmoron", "idoit", "stupd", "stoopid", "xxxxx", "", "morl"]:
         assert sorted(trie.near(w)) == sorted(s for s in stems if distance(s, w) <= 1)
+    for w in ["idoits", "morronic", "stupids", "sstupides", "moralss", "xx"]:
+        assert sorted(trie.near(w, 1, 2)) == sorted(s for s in stems if min(distance(s, w[: len(w) - k]) for k in range(3)) <= 1)
 
 
 def test_toxicity(spark, empty):
@@ -324,6 +326,9 @@ def test_toxicity(spark, empty):
     by = got.set_index("doc_id")
     assert by.predicted[1003] == 1 and by.predicted[1001] == by.predicted[1002] == 0 and 0 <= by.score[1001] <= 1
     model = toxicity.train(docs, lab)
+    for glued in ("zorvak" + "x" * 70, "zorvak" * 4000, "zorvaks", "zrovaks"):
+        assert model.score(f"you {glued} quibble there") > model.score("you there") + 0.3
+    assert toxicity.digest(docs.unionByName(docs).unionByName(docs.limit(3).selectExpr("CAST(NULL AS long) AS doc_id", "text", "y")), lab).where("score IS NULL OR held_out IS NULL").count() == 0
     assert model.score("he said “zorvak” to them") < model.score("you zorvak there")
     assert toxicity.digest(empty, lab).count() == 0
     assert toxicity.digest(docs, lab.limit(0)).where("predicted = 1").count() == 0
