@@ -1,7 +1,7 @@
 """Document fingerprints from improbable features.
 
-Every window of 64 bytes is a feature. Its rarity is its self-information under the byte pairs of the
-whole corpus. A feature is chosen if it is the rarest of many of the stretches of features that hold
+Every window of 64 bytes is a feature; texts under 512 bytes have shorter ones too, or only. A feature's rarity is
+its self-information under the byte pairs of the whole corpus. A feature is chosen if it is the rarest of many of the stretches of features that hold
 it. The chosen ones are put into Bloom filters, a new one whenever one is full, and fingerprints are
 compared by the bits that their filters share beyond what chance gives.
 """
@@ -12,15 +12,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import BYTE_CODES, Rolling, cut, mix64, parts_for
 
-FEATURE, STRETCH, POPULAR = 64, 64, 16
+#: Bytes of a feature, the lengths of text that have such features, the features of a stretch, and of how many
+#: stretches a feature must be the rarest. Lengths overlap, so texts of almost one length share some kind.
+KINDS = ((2, 0, 32, 1, 1), (8, 16, 512, 8, 2), (64, 64, 2**63, 64, 16))
 FILTER_BITS, HASHES, PER_FILTER = 2048, 5, 160
-_POWERS = np.cumprod(np.concatenate(([1], np.full(FEATURE - 1, Rolling.BASE, np.uint64))).astype(np.uint64), dtype=np.uint64)
+_POWERS = np.cumprod(np.array([1, *[Rolling.BASE] * 63], np.uint64), dtype=np.uint64)
 _SHIFTS = (np.arange(HASHES) * 11).astype(np.uint64)
 
 
@@ -61,29 +64,32 @@ def _sliding_max(x: np.ndarray, w: int) -> np.ndarray:
     return np.maximum(x[:-d], x[d:]) if d else x
 
 
-def features(text: bytes, bits: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
-    """Hashes of a text's chosen features in order, each once; a text under 64 bytes is one feature."""
-    n = len(text)
-    if n < FEATURE:
-        return mix64(Rolling(BYTE_CODES[np.frombuffer(text, np.uint8)]).at(np.zeros(1, np.int64), np.full(1, n))) if n else np.zeros(0, np.uint64)
-    raw = np.frombuffer(text, np.uint8)
-    total = n - FEATURE + 1
-    stretch = min(STRETCH, total)
+def _chosen(raw: np.ndarray, bits: np.ndarray, width: int, stretch: int, popular: int, chunk: int) -> np.ndarray:
+    """Hashes of a text's chosen features of ``width`` bytes, in order."""
+    total = len(raw) - width + 1
+    stretch = min(stretch, total)
     votes = np.zeros(total, np.int32)
     for lo in range(0, total - stretch + 1, chunk):
-        x = raw[lo:lo + chunk + stretch + FEATURE - 2]
+        x = raw[lo:lo + chunk + stretch + width - 2]
         info = np.concatenate(([0], np.cumsum(bits[x[:-1].astype(np.uint16) << 8 | x[1:]])))
-        rare = info[FEATURE - 1:] - info[:-(FEATURE - 1)]
+        rare = info[width - 1:] - info[: len(info) - width + 1]
         m = len(rare)
         best = _sliding_max(rare << 32 | np.arange(m - 1, -1, -1), stretch)[: chunk]
         at = m - 1 - (best & 0xFFFFFFFF)
         votes[lo:lo + m] += np.bincount(at, minlength=m).astype(np.int32)
-    chosen = np.flatnonzero(votes >= min(POPULAR, max(1, (total - stretch + 1) // 4)))
-    out = []
+    chosen = np.flatnonzero(votes >= min(popular, max(1, (total - stretch + 1) // 4)))
+    out = [np.zeros(0, np.uint64)]
     for lo in range(0, len(chosen), 1 << 14):
-        part = chosen[lo:lo + (1 << 14), None] + np.arange(FEATURE)
-        out.append(mix64((BYTE_CODES[raw[part]] * _POWERS).sum(1, dtype=np.uint64)))
-    h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+        part = chosen[lo:lo + (1 << 14), None] + np.arange(width)
+        out.append(mix64((BYTE_CODES[raw[part]] * _POWERS[:width]).sum(1, dtype=np.uint64) + np.uint64(width)))
+    return np.concatenate(out)
+
+
+def features(text: bytes, bits: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """Hashes of a text's chosen features in order, each once, short features first."""
+    raw = np.frombuffer(text, np.uint8)
+    kinds = [(min(w, len(raw)), *x) for w, least, most, *x in KINDS if least <= len(raw) < most] if len(raw) else []
+    h = np.concatenate([np.zeros(0, np.uint64), *(_chosen(raw, bits, *k, chunk) for k in kinds)])
     _, first = np.unique(h, return_index=True)
     return h[np.sort(first)]
 
@@ -144,37 +150,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def _bucket_of(k: np.ndarray, th: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """How many of the sorted ``bounds`` (k, th) are at or before each row."""
+    a, b = (np.array([x[i] for x in bounds], np.int64) for i in (0, 1))
+    lo, hi = np.searchsorted(a, k, "left"), np.searchsorted(a, k, "right")
+    for i in np.flatnonzero(hi > lo):  # few rows: those of an id that is a bound
+        lo[i] += np.searchsorted(b[lo[i]:hi[i]], th[i], "right")
+    return lo
+
+
 def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20) -> DataFrame:
     """Partitions of (doc_id, text, guest) in descending order of ``doc_id``, the last row a guest.
 
     A partition's guest is the row that comes next after its last: the next partition's first, and
     after all the very first. Splitters of the ids deal the rows, so texts are shuffled once and no
-    order of all rows is needed in one place. Nulls come last, ties in the order of the texts' hashes.
+    order of all rows is needed in one place; an id (or null) with rows for more than a partition is split by
+    the texts' hashes. Nulls come last, ties in the order of the texts' hashes.
     """
+    # ``k`` ascends as doc_id descends
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("k"), F.col(text_col).cast("string").alias("text"),
+        F.coalesce(F.bitwise_not(F.col(id_col).cast("long")), F.lit(2**63 - 1)).alias("k"), F.col(text_col).cast("string").alias("text"),
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"),
     )
     keys = cut(rows.select("k", "th", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("b")))
-    parts = parts_for(docs.sparkSession, keys.agg(F.sum("b")).head()[0] or 0, bucket_bytes)
-    at = [i / parts for i in range(1, parts)]
-    found = keys.agg(F.percentile_approx("k", F.array(*[F.lit(x) for x in at]), F.lit(max(10_000, 20 * parts)))).head()[0] if at else []
-    bounds = sorted(set(found or []), reverse=True)
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x > F.col("k"))) if bounds else F.lit(0)
-    firsts = keys.withColumn("bucket", bucket).groupBy("bucket").agg(F.min(F.struct((-F.col("k").cast("decimal(20,0)")).alias("o"), "th", "k")).alias("f"))
+    size = keys.agg(F.sum("b"), F.count(F.lit(1))).head()
+    parts = parts_for(docs.sparkSession, size[0] or 0, bucket_bytes)
+
+    def evenly(column: str, n: int) -> Column:
+        return F.percentile_approx(column, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 20 * n)))
+
+    bounds = {(x, -(2**63)) for x in (keys.agg(evenly("k", parts)).head()[0] or [] if parts > 1 else [])}
+    for r in keys.groupBy("k").count().where(F.col("count") * parts > 2 * size[1]).collect() if parts > 1 else ():  # parts / 2 at most
+        n = -(-r["count"] * parts // size[1])
+        bounds |= {(r.k, x) for x in keys.where(F.col("k") == r.k).agg(evenly("th", n)).head()[0]}
+    bounds = sorted(bounds)
+
+    @F.pandas_udf("int")
+    def bucket(k: pd.Series, th: pd.Series) -> pd.Series:
+        return pd.Series(_bucket_of(k.to_numpy(), th.to_numpy(), bounds))
+
+    firsts = keys.withColumn("bucket", bucket("k", "th")).groupBy("bucket").agg(F.min(F.struct("k", "th")).alias("f"))
     order = sorted(firsts.collect(), key=lambda r: r.bucket)  # a row for each partition
     guests = [(r.f.k, r.f.th, order[i - 1].bucket) for i, r in enumerate(order)]
     named = F.broadcast(docs.sparkSession.createDataFrame(guests, "gk long, gth long, host int"))
-    met = rows.withColumn("bucket", bucket).join(named, (F.col("k") == F.col("gk")) & (F.col("th") == F.col("gth")), "left")
+    met = rows.withColumn("bucket", bucket("k", "th")).join(named, (F.col("k") == F.col("gk")) & (F.col("th") == F.col("gth")), "left")
     own = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("host").alias("to"), F.lit(True).alias("guest"))
     sent = met.select("k", "doc_id", "text", "th", F.explode(F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("x"))
     dealt = sent.select("k", "doc_id", "text", "th", "x.to", "x.guest").repartitionById(len(bounds) + 1, F.col("to"))
-    return dealt.sortWithinPartitions("guest", F.desc("k"), "th").select("doc_id", "text", "guest")
+    return dealt.sortWithinPartitions("guest", "k", "th").select("doc_id", "text", "guest")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``."""
+    """``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited``, ``near_next``.
+
+    The next document is the one with the next smaller ``doc_id``; nulls come last, rows that repeat a ``doc_id`` in the order
+    of their texts' hashes. Null texts are empty; empty texts have the fingerprint ''. The only row of a table is its
+    own next document; an empty table gives no rows.
+    """
     bits = surprise(pair_counts(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

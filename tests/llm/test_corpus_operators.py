@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import line_dedup, mixing, nearest, pieces, rarity, repeats, sharding, simhash, substring_dedup, suffix_dedup, toxicity, windows
+from ledgerloom.llm.common import BYTE_CODES, Rolling, mix64
 from ledgerloom.llm.components import components, local_roots
 from ledgerloom.llm.queries import model_path
 
@@ -245,6 +246,93 @@ def test_fingerprints(docs, rows, empty, doubled):
     assert rarity.digest(empty).count() == 0 and rarity.digest(doubled).count() == doubled.count()
 
 
+def brute_filters(text, bits):
+    """A fingerprint by loops over windows, stretches and hash functions: sets of bits."""
+    codes, base = [int(c) for c in BYTE_CODES], Rolling.BASE
+    seen = []
+    for width, least, most, stretch, popular in rarity.KINDS:
+        if not text or not least <= len(text) < most:
+            continue
+        width = min(width, len(text))
+        rare = [sum(int(bits[text[i + j] << 8 | text[i + j + 1]]) for j in range(width - 1)) for i in range(len(text) - width + 1)]
+        stretch = min(stretch, len(rare))
+        votes = [0] * len(rare)
+        for i in range(len(rare) - stretch + 1):
+            votes[max(range(i, i + stretch), key=lambda j: (rare[j], -j))] += 1
+        for i, v in enumerate(votes):
+            if v >= min(popular, max(1, (len(rare) - stretch + 1) // 4)):
+                h = sum(codes[text[i + j]] * base**j for j in range(width)) + width
+                h = int(mix64(np.array([h % 2**64], np.uint64))[0])
+                if h not in seen:
+                    seen.append(h)
+    out = [set() for _ in range(-(-len(seen) // rarity.PER_FILTER))]
+    for n, h in enumerate(seen):
+        out[n // rarity.PER_FILTER] |= {(h >> 11 * k) % rarity.FILTER_BITS for k in range(rarity.HASHES)}
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+
+    def one_way(x, y):
+        best = []
+        for f in x:
+            own = []
+            for g in y:
+                chance, most = len(f) * len(g) / rarity.FILTER_BITS, min(len(f), len(g))
+                own.append(min(1, max(0, (len(f & g) - chance) / max(most - chance, 1e-9))))
+            best.append(max(own) * len(f))
+        return sum(best) / sum(map(len, x))
+
+    if len(a) == len(b):
+        return (one_way(a, b) + one_way(b, a)) / 2
+    return one_way(a, b) if len(a) < len(b) else one_way(b, a)
+
+
+def test_fingerprints_against_brute_force(docs, rows):
+    def as_hex(filters):
+        return b"".join(np.packbits([i in f for i in range(rarity.FILTER_BITS)]).tobytes() for f in filters).hex()
+
+    counts = np.zeros(65536, np.int64)
+    for _, t in rows:
+        raw = (t or "").encode()
+        for x, y in zip(raw, raw[1:]):
+            counts[x << 8 | y] += 1
+    bits = rarity.surprise(counts)
+    got = {r.doc_id: r for r in rarity.digest(docs).collect()}
+    order = sorted(rows, reverse=True)
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        if len(t) > 4000 or len(after) > 4000:
+            continue
+        own, edited, other = (brute_filters(x.encode(), bits) for x in (t, rarity.edit(t, after), after))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (as_hex(own), as_hex(edited))
+        assert math.isclose(got[i].near_edited, brute_likeness(own, edited), abs_tol=1e-9) and math.isclose(got[i].near_next, brute_likeness(own, other), abs_tol=1e-9)
+
+
+def test_fingerprints_of_short_texts(spark):
+    rng = random.Random(6)
+    texts = [words(rng, n) for n in (2, 3, 4, 5, 7, 9, 12, 20, 40, 60, 100) for _ in range(6)]
+    got = rarity.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    assert (got.near_edited > 0.25).mean() > 0.95 and (got.near_edited > got.near_next).mean() > 0.95
+
+
+def test_partitions_of_one_id(spark):
+    """Rows without an id, a third of all, are dealt over several partitions, and each row meets the next one."""
+    rows = [(None if i % 3 == 0 else i, f"text {i} " + "x" * 50) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    parts = rarity.beside_next(docs, bucket_bytes=3000).rdd.glom().collect()
+    assert max(len(p) for p in parts) < 100
+    th = {t: h for t, h in docs.select("text", F.xxhash64("text")).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), th[r[1]]))
+    flat = [p for p in parts if p]
+    assert [tuple(r)[:2] for p in flat for r in p if not r.guest] == want
+    assert all(p[-1].guest and tuple(p[-1])[:2] == tuple(q[0])[:2] for p, q in zip(flat, flat[1:] + flat[:1]))
+
+
 def test_pieces_equal_the_library(rows):
     path = model_path()
     lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Pieces(path)
