@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Cells along a projection; the outer ones have no end.
 LEVELS = 4
+#: Comparisons that sending a query to a cell is worth, by time.
+VISIT = 64
 _erf = np.vectorize(math.erf, otypes=[float])
 
 
@@ -32,6 +34,7 @@ class Index:
     width: np.ndarray
     spread: np.ndarray  # of a neighbour's projection around the query's
     share: float = 1.0
+    visits: float = 0.0  # cells that a query visits
     count: np.ndarray | None = None  # (tables, cells)
 
     def project(self, x: np.ndarray, query: bool) -> np.ndarray:
@@ -50,8 +53,8 @@ class Index:
         p = np.clip(p, 0, LEVELS - 1).astype(np.int64)
         return (p * LEVELS ** np.arange(p.shape[2])).sum(2)
 
-    def probes(self, x: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(table, query, cell) of the visits: until the cells hold ``share`` of all rows and ``least`` rows."""
+    def probes(self, x: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(table, query, cell, rows in the cells before it) of the visits: until the cells hold ``share`` of all rows and ``least`` rows."""
         z = self.project(x, True)
         k = z.shape[2]
         edges = np.concatenate(([-np.inf], np.arange(1, LEVELS) - LEVELS // 2, [np.inf]))
@@ -67,43 +70,42 @@ class Index:
                 chance = sum(log_p[:, j][:, levels[:, j]] for j in range(k))
                 order = np.argsort(-chance, axis=1, kind="stable")
                 held = np.cumsum(self.count[t][at][order], axis=1)
-                visit = np.concatenate([np.ones((len(u), 1), bool), held[:, :-1] < need], axis=1)
-                q, nth = np.nonzero(visit)
-                yield t, q + lo, at[order[q, nth]]
+                held = np.concatenate([np.zeros((len(u), 1), np.int64), held[:, :-1]], axis=1)
+                q, nth = np.nonzero(held < need)
+                yield t, q + lo, at[order[q, nth]], held[q, nth]
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def fit(rows: DataFrame, n: int, dim: int, largest: float, top: int, tables: int, functions: int, sample: int, queries: int, recall: float, seed: int) -> Index:
-    """Planes and cells from at most ``sample`` rows; the share of rows to visit from the recall that
-    ``queries`` of them reach against brute force among the sample."""
+def fit(x: np.ndarray, n: int, largest: float, top: int, tables: int, functions: int, queries: int, recall: float, seed: int) -> Index:
+    """Planes, cells and the share of rows to visit, from a sample ``x`` of ``n`` rows: the least share with which
+    ``queries`` of its rows reach ``recall`` against brute force among the sample. Neighbours there are as many of the
+    nearest as ``top`` of all rows come to."""
     rng = np.random.default_rng(seed)
-    got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    x = np.array([r.v for r in got], np.float64).reshape(-1, dim)
-    index = Index(dim, largest, rng.standard_normal((tables, dim + 1, functions)), *[np.zeros((tables, functions))] * 3)
+    index = Index(x.shape[1], largest, rng.standard_normal((tables, x.shape[1] + 1, functions)), *[np.zeros((tables, functions))] * 3)
     p = index.project(x, False)
     index.width = np.maximum(2 * p.std(1), 1e-12)
     index.middle = p.mean(1) + (rng.random((tables, functions)) - 0.5) * index.width
     q = x[:queries]
     score = q @ x.T
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
-    k = min(top, max(1, len(x) - 1))
+    k = min(max(1, round(top * len(x) / n)), max(1, len(x) - 1))
     best = np.argsort(-score, axis=1)[:, :k]
     gap = np.take_along_axis(p, np.broadcast_to(best.ravel()[None, :, None], (tables, best.size, functions)), 1).reshape(tables, len(q), k, functions)
     index.spread = np.maximum(np.sqrt(((gap - index.project(q, True)[:, :, None]) ** 2).mean((1, 2))), 1e-12)
     cells = index.cells(x)
     index.count = np.array([np.bincount(c, minlength=LEVELS**functions) for c in cells])
-    for share in (0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6, 1.0):
-        index.share = share
-        seen = np.zeros(best.shape, bool)
-        for t, qi, cell in index.probes(q, top + 1):
-            visits = np.zeros((len(q), LEVELS**functions), bool)
-            visits[qi, cell] = True
-            seen |= np.take_along_axis(visits, cells[t][best], 1)
-        if seen.mean() >= recall:
-            break
+    # how much of each table is visited before a neighbour's cell is
+    index.share = 1.0
+    before = np.ones(best.shape)
+    for t, qi, cell, held in index.probes(q, top + 1):
+        upto = np.full((len(q), LEVELS**functions), 2.0)
+        upto[qi, cell] = held / max(1, len(x))
+        before = np.minimum(before, np.take_along_axis(upto, cells[t][best], 1))
+    index.share = float(np.quantile(before, recall)) + 1e-9
+    index.visits = sum(len(qi) for _, qi, _, _ in index.probes(q, top + 1)) / max(1, len(q))
     return index
 
 
@@ -126,13 +128,13 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], top: int) ->
 
 def search(
     vectors: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    tables: int = 4, functions: int = 6, sample: int = 8192, queries: int = 256, recall: float = 0.98, block: int = 4096, seed: int = 7,
+    tables: tuple[int, ...] = (1, 2, 4), sample: int = 8192, queries: int = 1024, recall: float = 0.94, block: int = 4096, seed: int = 7,
 ) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (inner product, double).
 
     Queries are the rows whose id is divisible by ``every``; candidates all rows but the query's own.
-    Every row is indexed; only the grid and the number of visits are fitted, on at most ``sample``
-    rows. A query visits at least so many cells that they hold ``top`` rows besides it, so with fewer
+    Every row is indexed; only the grid, the number of ``tables`` (that with the least work) and of
+    visits are fitted, on at most ``sample`` rows, for the ``recall``. Cells grow in number with the rows. A query visits at least so many cells that they hold ``top`` rows besides it, so with fewer
     rows it gets all. Ties go to the smaller id. Ids or vectors that are null, and vectors that are
     zero, hold null or non-finite components or have another length than most, take no part. Rows
     that repeat an id count as one, at its best score. Cells with more than ``block`` rows are dealt
@@ -149,7 +151,10 @@ def search(
         return spark.createDataFrame([], schema)
     dim, n = sizes[0].d, sizes[0].n
     rows = rows.where(F.size("v") == dim).select("vec_id", "v")
-    index = fit(rows, n, dim, math.sqrt(sizes[0].m), top, tables, functions, sample, queries, recall, seed)
+    functions = min(10, max(3, round(math.log2(max(1, n / 800)))))
+    some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    x = np.array([r.v for r in some], np.float64).reshape(-1, dim)
+    index = min((fit(x, n, math.sqrt(sizes[0].m), top, t, functions, queries, recall, seed) for t in tables), key=lambda i: i.share * len(i.planes) * n + VISIT * i.visits)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +163,7 @@ def search(
                 t = np.repeat(np.arange(len(c)), b.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(np.int32)), pa.array(c.ravel().astype(np.int32))], ["t", "cell"])
 
-    full = np.zeros((tables, LEVELS**functions), np.int64)
+    full = np.zeros((len(index.planes), LEVELS**functions), np.int64)
     for r in rows.mapInArrow(place, "t int, cell int").groupBy("t", "cell").count().collect():
         full[r.t, r.cell] = r["count"]
     index.count = full
@@ -183,7 +188,7 @@ def search(
             for t, c in enumerate(index.cells(x)):
                 yield from out(first[t, c] + np.abs(ids * 2654435761 >> 7) % blocks[t, c], False, ids, x)
             mine = np.flatnonzero(ids % every == 0)
-            for t, q, c in index.probes(x[mine], top + 1) if len(mine) else ():
+            for t, q, c, _ in index.probes(x[mine], top + 1) if len(mine) else ():
                 rep = np.repeat(np.arange(len(q)), blocks[t, c])
                 nth = np.arange(len(rep)) - np.repeat(np.cumsum(blocks[t, c]) - blocks[t, c], blocks[t, c])
                 who = mine[q[rep]]

@@ -226,6 +226,40 @@ def test_nearest_recall_and_order(spark):
     np.testing.assert_allclose(df.score, (x[df.query_id] * x[df.vec_id]).sum(1), rtol=1e-12)
 
 
+@pytest.mark.parametrize(("n", "clustered"), [(6000, True), (6000, False), (1000, False)])
+def test_nearest_compares_fewer_than_all(n, clustered):
+    """What queries visit, all tables together, is less than all rows, at a recall of 0.9 and more."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((n, 48)) + (4 * rng.standard_normal((30, 48))[rng.integers(0, 30, n)] if clustered else 0)
+    index = nearest.fit(x[: min(n, 3000)], n, np.sqrt((x * x).sum(1)).max(), 20, 1, 4, 500, 0.94, 7)
+    cells, q = index.cells(x), x[::20]
+    index.count = np.array([np.bincount(c, minlength=nearest.LEVELS**4) for c in cells])
+    score = q @ x.T
+    score[np.arange(len(q)), np.arange(len(q)) * 20] = -np.inf
+    best = np.argsort(-score, axis=1)[:, :20]
+    seen, compared = np.zeros(best.shape, bool), 0
+    for t, qi, c, _ in index.probes(q, 21):
+        visit = np.zeros((len(q), nearest.LEVELS**4), bool)
+        visit[qi, c] = True
+        seen |= np.take_along_axis(visit, cells[t][best], 1)
+        compared += index.count[t][c].sum() / len(q)
+    assert seen.mean() >= 0.9 and compared < (0.4 if clustered else 0.95) * n
+
+
+def test_nearest_with_clashing_names_repeated_ids_and_ties(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((300, 8))
+    x[0] *= 10
+    x[100:140] = x[0]  # more ties than a query's neighbours
+    rows = [(i, [float(v) for v in x[i]], 1.0, "a", 3, True) for i in range(300)] + [(7, [float(v) for v in 2 * x[7]], 1.0, "b", 3, False)]
+    names = "vec_id long, embedding array<double>, square double, block string, id long, query boolean"
+    got = nearest.search(spark.createDataFrame(rows, names)).toPandas().sort_values(["query_id", "rank"])
+    assert got[got.query_id == 0].vec_id.tolist() == list(range(100, 120))
+    assert not got.duplicated(["query_id", "vec_id"]).any() and (got.groupby("query_id").size() == 20).all()
+    sevens = got[got.vec_id == 7]
+    np.testing.assert_allclose(sevens.score, [max(x[7] @ x[q], 2 * x[7] @ x[q]) for q in sevens.query_id])
+
+
 def test_nearest_of_few(spark):
     rows = [(i, [float(i), 1.0]) for i in range(0, 50, 10)]
     got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
