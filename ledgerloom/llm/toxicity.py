@@ -104,9 +104,10 @@ class Trie:
 class Lexicon:
     """Finds hits. ``plain`` and ``misspelt``: a stem's evidence (log-odds) as written and near to it.
 
-    Words one edit apart become equal when each loses a letter at most, so only words that share such
-    a shortened form with a stem, as they are or without an ending of one or two letters, are taken to the
-    automaton. Stems under 5 letters are only found as written. Words may be of any length.
+    Of a word one edit away from a stem either the first two letters are the stem's, or the stem's fourth and fifth
+    stand where they should or next to that. And both become equal when each loses a letter at most. So only words
+    that share letters, and such a shortened form, with a stem, as they are or without an ending of one or two letters,
+    are taken to the automaton. Stems under 5 letters are only found as written. Words may be of any length.
     """
 
     plain: dict[str, float]
@@ -120,6 +121,7 @@ class Lexicon:
         self.reach = {x for stem in long for x in shortened(stem)}
         self.lengths = range(min(map(len, long), default=0) - 1, max(map(len, long), default=-2) + 2)
         self.firsts = {s[:4] for s in self.plain}
+        self.begins, self.inner = {s[:2] for s in long}, {s[3:5] for s in long}
 
     def __getstate__(self) -> dict:
         return {"plain": self.plain, "misspelt": self.misspelt}
@@ -137,6 +139,9 @@ class Lexicon:
         other = word.translate(LOOKALIKE)
         if other != word and other[:4] in self.firsts and (stem := self.trie.prefix(other)) in self.misspelt:
             return 2, stem
+        inner = self.inner
+        if other[:2] not in self.begins and other[3:5] not in inner and other[2:4] not in inner and other[4:6] not in inner:
+            return 0, ""
         for cut_off in range(min(ENDING, len(other)) + 1):
             head = other[: len(other) - cut_off]
             if len(head) in self.lengths and not self.reach.isdisjoint(shortened(head)) and (stems := self.long.near(other, 1, ENDING)):
@@ -250,7 +255,7 @@ def train(
     marked = text.join(F.broadcast(rows), text.doc_id == rows.i).select("i", "text", "y").mapInArrow(sketch, "i long, text string, y int, sketch long")
     marked = cut(marked)
     one = marked.groupBy(F.col("sketch").alias("s"), F.col("y").alias("sy")).agg(F.min("i").alias("si"))
-    known = marked.join(one, (F.col("sketch") == F.col("s")) & (F.col("y") == F.col("sy")) & (F.col("i") == F.col("si")), "left_semi").select("text", "y")
+    known = marked.join(F.broadcast(one), (F.col("sketch") == F.col("s")) & (F.col("y") == F.col("sy")) & (F.col("i") == F.col("si")), "left_semi").select("text", "y")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()

@@ -428,6 +428,28 @@ def test_automaton_finds_what_edit_distance_says():
         assert sorted(trie.near(w, 1, 2)) == sorted(s for s in stems if min(distance(s, w[: len(w) - k]) for k in range(3)) <= 1)
 
 
+def test_no_word_near_a_stem_is_passed_over():
+    """What the lexicon looks at before it asks the automaton loses nothing."""
+    rng = random.Random(2)
+    stems = ["idiot", "worthless", "clown", "scumbag"]
+    lexicon = toxicity.Lexicon(dict.fromkeys(stems, 3.0), dict.fromkeys(stems, 2.0))
+    for _ in range(4000):
+        w = list(rng.choice(stems))
+        i = rng.randrange(len(w))
+        edit = rng.randrange(4)
+        if edit == 0:
+            w[i] = rng.choice("abcdxyz")
+        elif edit == 1:
+            w.insert(i, rng.choice("abcdxyz"))
+        elif edit == 2:
+            del w[i]
+        elif i:
+            w[i - 1], w[i] = w[i], w[i - 1]
+        word = "".join(w) + rng.choice(["", "s", "es"])
+        assert lexicon.look_up(word)[0] or not lexicon.long.near(word, 1, toxicity.ENDING), word
+        assert lexicon.look_up(word)[0] or len(word) < 4, word
+
+
 def test_toxicity(spark, empty):
     rng = np.random.default_rng(2)
     vocab = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
