@@ -25,10 +25,6 @@ def server_sql(name: str) -> str:
     return f"CASE WHEN startswith({name}, 'mcp__') THEN split({name}, '__')[1] END"
 
 
-def server_of(name: Column) -> Column:
-    return F.when(name.startswith("mcp__"), F.split(name, "__")[1])
-
-
 def ascii_lower(x: Column) -> Column:
     """Only A to Z change."""
     return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,6 +57,11 @@ def window_fill(prefix: str = "") -> Column:
     return zero(f"{prefix}input") + zero(f"{prefix}cache_read") + zero(f"{prefix}cache_creation")
 
 
+def is_empty(usage: str = "usage") -> Column:
+    """No counter is known; how long cache writes live doesn't matter."""
+    return F.coalesce(*[F.col(f"{usage}.{c}") for c in ("input", "output", "cache_creation", "cache_read", "thinking")]).isNull()
+
+
 def est_tokens(chars: Column) -> Column:
     """A quarter of the characters, rounded down."""
     return F.floor(chars / 4).cast("long")
@@ -75,9 +76,9 @@ def share_or_null(part: Column, whole: Column) -> Column:
     return F.when(zero(whole) != 0, part.cast("double") / whole.cast("double"))
 
 
-def minus_floor0(a: Column, b: Column) -> Column:
+def less_sql(a: str, b: str) -> str:
     """a - b, not below 0; NULL stays NULL (greatest() would skip it)."""
-    return F.when(a.isNotNull(), F.greatest(a - zero(b), F.lit(0)))
+    return f"CASE WHEN {a} IS NOT NULL THEN greatest({a} - coalesce({b}, 0), 0) END"
 
 
 def first_by(value: str, order: str, where: str | None = None) -> Column:

@@ -19,6 +19,11 @@ def merge_lines(
     return lines.groupBy(*by).agg(*aggs, F.count(F.lit(1)).alias("n_lines"), F.min(order).alias("first_seq"), *extra)
 
 
+def encrypted() -> Column:
+    """A request that thinks without showing what."""
+    return F.col("has_thinking") & (F.col("thinking_chars") == 0)
+
+
 def requests(events: DataFrame, files: DataFrame, since: str | None = None) -> DataFrame:
     """The fact table of every report on spend: one row per request of a file.
 
@@ -40,7 +45,7 @@ def requests(events: DataFrame, files: DataFrame, since: str | None = None) -> D
     return (
         merged.join(of, "file_id")
         .withColumn("sidechain", F.col("sidechain") | F.col("parent_session").isNotNull())
-        .withColumn("encrypted", F.col("has_thinking") & (F.col("thinking_chars") == 0))
+        .withColumn("encrypted", encrypted())
         .withColumn("known_total", X.known_total())
     )
 
@@ -55,7 +60,10 @@ def dedup_stats(reqs: DataFrame) -> DataFrame:
         n(F.col("has_thinking")).alias("requests_with_thinking"),
         n(F.col("encrypted")).alias("requests_with_encrypted_thinking"),
         X.zero(F.sum("thinking_chars")).alias("thinking_chars_total"),
-    ).withColumn("thinking_tokens_estimate", X.est_tokens(F.col("thinking_chars_total")))
+    ).withColumns({
+        "thinking_tokens_estimate": X.est_tokens(F.col("thinking_chars_total")),
+        "overcount_percent": overcount_percent(F.col("naive_known_tokens"), F.col("known_tokens")),
+    })
 
 
 def overcount_percent(naive: Column, real: Column) -> Column:

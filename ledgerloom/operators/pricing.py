@@ -44,7 +44,7 @@ def price_table(spark: SparkSession, overrides: Prices | None = None, snapshot:
 
 def normalize_model(model: Column) -> Column:
     """Trimmed, A-Z lower-cased, without one provider's prefix."""
-    return F.regexp_replace(X.ascii_lower(F.trim(model)), r"^(anthropic/|us\.anthropic\.|anthropic\.)", "")
+    return F.regexp_replace(X.ascii_lower(F.regexp_replace(model, r"(?U)^\s+|\s+$", "")), r"^(anthropic/|us\.anthropic\.|anthropic\.)", "")
 
 
 def longest_prefix(names: DataFrame, name: Column, prices: DataFrame) -> DataFrame:

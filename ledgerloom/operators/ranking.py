@@ -70,12 +70,3 @@ def carry_forward(rows: DataFrame, keys: list[str], order: list[str], value: str
     """The last known value up to each row."""
     w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
-
-
-def shares(rows: DataFrame, part: str, whole: Column | None = None, name: str = "share") -> DataFrame:
-    total = F.sum(part).over(W.partitionBy(F.lit(1))) if whole is None else whole
-    return rows.withColumn(name, X.share(F.col(part), total))
-
-
-def empty(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)

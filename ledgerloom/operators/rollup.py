@@ -32,10 +32,5 @@ def by(reqs: DataFrame, **keys: Column) -> DataFrame:
     return reqs.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(*rollup_aggs()).orderBy(*keys)
 
 
-def fold(children: DataFrame, parent: str, own: str) -> Column:
-    """The row that a child counts towards: its parent's, else its own."""
-    return F.coalesce(F.col(parent), F.col(own))
-
-
 def costliest_first(key: str = "id") -> list[Column]:
     return [F.desc("cost_usd"), F.desc(X.rollup_total()), F.asc(key)]

@@ -33,6 +33,10 @@ class Books:
         reqs = with_cost(dedup.requests(logs.events, logs.files, since), price_table(logs.files.sparkSession, overrides))
         return cls(logs, reqs.cache() if cache else reqs, since)
 
+    def close(self) -> None:
+        """Give back what is cached for this report; ``logs`` stay open."""
+        self.requests.unpersist()
+
     def events(self) -> DataFrame:
         return self.logs.events.where(X.in_window("ts", self.since))
 
@@ -67,7 +71,8 @@ def summary(books: Books) -> Report:
         "compactions": events.agg(F.count_if(F.col("kind") == "Compaction").alias("compactions")),
         "unpriced_models": reqs.where("model IS NOT NULL AND price IS NULL").select("model").distinct().orderBy("model"),
         "dedup": dedup.dedup_stats(reqs),
-        "health": files.agg(F.count(F.lit(1)).alias("sessions_parsed"), X.zero(F.sum("skipped_lines")).alias("skipped_lines")),
+        "health": files.agg(F.count(F.lit(1)).alias("sessions_parsed"), X.zero(F.sum("skipped_lines")).alias("skipped_lines")).crossJoin(
+            books.logs.failed.agg(F.count(F.lit(1)).alias("sessions_failed"))),  # one row each
     }
 
 
@@ -152,7 +157,16 @@ def context(books: Books, scope: Column | None = None, top: int = 12) -> Report:
     }
 
 
-def anomalies(books: Books, top: int = 15, gap_s: int = 15, least: int = 5) -> Report:
+def context_of(books: Books, row_id: str) -> Report:
+    """``context`` of one row of the sessions: its own file and its sub-agents'."""
+    return context(books, F.col("row_id") == row_id)
+
+
+#: Seconds between the requests of a storm, and their least number. Fixed values.
+STORM = {"gap_s": 15, "least": 5}
+
+
+def anomalies(books: Books, top: int = 15, gap_s: int = STORM["gap_s"], least: int = STORM["least"]) -> Report:
     """Where spend is concentrated, the heaviest requests, and bursts of requests."""
     reqs = books.requests.withColumn("tokens", F.col("known_total")).withColumn("cost0", F.coalesce("micro_usd", F.lit(0)))
     totals = reqs.agg(
@@ -172,7 +186,7 @@ def anomalies(books: Books, top: int = 15, gap_s: int = 15, least: int = 5) -> R
         X.share_or_null(F.col("cost_usd"), cost).alias("cost_share"),
     )
     storms = ranking.bursts(reqs, ["session_id"], "ts", gap_s, least, [
-        F.sum("tokens").alias("tokens"), usd(F.sum("micro_usd")).alias("cost_usd"), F.count_if("has_thinking").alias("thinking_requests"),
+        F.min_by("project", "ts").alias("project"), F.sum("tokens").alias("tokens"), usd(F.sum("micro_usd")).alias("cost_usd"), F.count_if("has_thinking").alias("thinking_requests"),
     ])
     return {"totals": totals, "concentration": concentration, "heaviest": heaviest, "storms": storms.orderBy(F.desc("tokens"), "start", "session_id")}
 
@@ -225,7 +239,7 @@ def folded(report: Report) -> DataFrame:
 
 
 def drilldown(books: Books) -> Report:
-    """Sessions and their turns; ``context`` scoped to a session gives the third level."""
+    """Sessions and their turns; ``context_of`` a session is the third level."""
     reqs, files = books.requests, books.logs.files
     said = books.events().where("kind = 'Assistant' AND request_id IS NOT NULL").withColumn("seq", _seq())
     notes = said.groupBy(F.col("file_id").alias("f"), F.col("request_id").alias("r")).agg(

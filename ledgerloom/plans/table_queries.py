@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import exprs as X
-from ledgerloom.operators import attribution, classify, dedup, flame, pricing, ranking
+from ledgerloom.operators import attribution, classify, dedup, flame, pricing, ranking, rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,46 +70,52 @@ def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     return both.select("collapsed", "naive", "merged", (dedup.overcount_percent(F.col("naive"), F.col("merged")) > 0).alias("overcounts"))
 
 
-def _sums() -> list:
-    return [
-        F.count(F.lit(1)).alias("requests"), F.sum("l_quantity").cast("long").alias("quantity"),
-        F.sum(F.col("l_extendedprice").cast(MONEY)).cast("double").alias("price"), F.sum("n_lines").alias("lines"),
-    ]
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Merged order lines as requests: counters from quantity, tax and discount, the price as cost; some are unknown."""
+    q, t = F.col("l_quantity").cast("long"), F.round(F.col("l_tax") * 100).cast("long")
+    return _merged(spark, d).select(
+        "l_orderkey", "l_returnflag", "l_shipdate", F.when(t != 3, q).alias("input"), t.alias("output"), F.when(q % 7 != 0, q * 2).alias("cache_creation"),
+        F.round(F.col("l_discount") * 100).cast("long").alias("cache_read"), F.when(t != 5, F.col("l_extendedprice").cast("decimal(38,6)")).alias("micro_usd"),
+    )
 
 
-_SUMS = "count(*) AS requests, sum(l_quantity)::BIGINT AS quantity, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS price, sum(n_lines)::BIGINT AS lines"
+_REQS = f"""
+(SELECT *, CASE WHEN t <> 3 THEN q END AS input, t AS output, CASE WHEN q % 7 <> 0 THEN q * 2 END AS cache_creation, CASE WHEN t <> 5 THEN l_extendedprice::DECIMAL(38,6) END AS micro
+ FROM (SELECT *, l_quantity::BIGINT AS q, round(l_tax * 100)::BIGINT AS t, round(l_discount * 100)::BIGINT AS cache_read FROM ({_MERGED})))
+"""
+_CORE = ("input", "output", "cache_creation", "cache_read")
+_SUMS = f"""count(*) AS requests, {', '.join(f'coalesce(sum({c}), 0)::BIGINT AS {c}' for c in _CORE)}, count(*) FILTER ({' OR '.join(f'{c} IS NULL' for c in _CORE)}) AS incomplete_requests,
+coalesce(sum(micro)::DOUBLE / 1e6, 0) AS cost_usd, count(*) FILTER (micro IS NULL) AS unpriced_requests"""
 
 
-@query(f"SELECT {_SUMS} FROM ({_MERGED})")
+@query(f"SELECT {_SUMS} FROM {_REQS}")
 def rollup_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).agg(*_sums())
+    return _requests(spark, d).agg(*rollup.rollup_aggs())
 
 
-@query(f"SELECT l_returnflag AS model, {_SUMS} FROM ({_MERGED}) GROUP BY l_returnflag ORDER BY 1")
+@query(f"SELECT l_returnflag AS model, {_SUMS} FROM {_REQS} GROUP BY 1 ORDER BY 1")
 def rollup_by_model(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).groupBy(F.col("l_returnflag").alias("model")).agg(*_sums()).orderBy("model")
+    return rollup.by(_requests(spark, d), model=F.col("l_returnflag"))
 
 
-@query(f"SELECT l_shipdate::DATE AS day, {_SUMS} FROM ({_MERGED}) GROUP BY 1 ORDER BY 1")
+@query(f"SELECT l_shipdate::DATE AS day, {_SUMS} FROM {_REQS} GROUP BY 1 ORDER BY 1")
 def rollup_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return _merged(spark, d).groupBy(F.to_date("l_shipdate").alias("day")).agg(*_sums()).orderBy("day")
+    return rollup.by(_requests(spark, d), day=F.to_date("l_shipdate"))
 
 
-@query("""
-SELECT coalesce(n_name, 'customer ' || o_custkey::VARCHAR) AS row_id, count(*) AS requests, count(DISTINCT o_custkey) AS members,
-       sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS price
-FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0
-GROUP BY 1 ORDER BY price DESC, row_id
+@query(f"""
+SELECT coalesce(n_name, 'customer ' || o_custkey::VARCHAR) AS id, {_SUMS} FROM {_REQS}
+JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0
+GROUP BY 1
 """)
 def rollup_by_session_fold(spark: SparkSession, d: str) -> DataFrame:
-    """Orders count towards their customer's nation, or towards the customer where it has none."""
+    """Requests count towards their customer's nation, or towards the customer where it has none; the costliest first."""
     orders, customer, nation = (table(spark, d, t) for t in ("orders", "customer", "nation"))
     parents = customer.join(nation.where("n_nationkey % 5 <> 0"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
-    met = orders.join(parents, F.col("o_custkey") == F.col("c_custkey"), "left")
-    key = F.coalesce("n_name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string")))
-    return met.groupBy(key.alias("row_id")).agg(
-        F.count(F.lit(1)).alias("requests"), F.countDistinct("o_custkey").alias("members"), F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("price")
-    ).orderBy(F.desc("price"), "row_id")
+    rows = orders.join(parents, F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = rows.select("o_orderkey", F.coalesce("n_name", F.concat(F.lit("customer "), F.col("o_custkey").cast("string"))).alias("id"))
+    met = _requests(spark, d).join(rows, F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.groupBy("id").agg(*rollup.rollup_aggs()).orderBy(*rollup.costliest_first())
 
 
 @query("""
@@ -161,12 +167,6 @@ def since_window(spark: SparkSession, d: str) -> DataFrame:
     return events.where(X.in_window("ts", since)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type AS name, count(*) AS calls, sum(strlen(props))::BIGINT AS input_bytes FROM events GROUP BY 1 ORDER BY calls DESC, name LIMIT 10")
-def tool_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("name")).agg(
-        F.count(F.lit(1)).alias("calls"), F.sum(F.octet_length("props")).alias("input_bytes")).orderBy(F.desc("calls"), "name").limit(10)
-
-
 @query("""
 WITH r AS (SELECT o_totalprice::DECIMAL(18,2) AS p, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k, count(*) OVER () AS n FROM orders),
 f AS (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.10::DOUBLE, 0.25::DOUBLE]) AS fraction)
@@ -234,22 +234,6 @@ def context_by_session(spark: SparkSession, d: str) -> DataFrame:
     return attribution.by_group(rows, "source", "size", "conv_id").select("conv_id", "source", "chars", "est_tokens", "share")
 
 
-_TURN = "{'a': turn, 'b': role, 'c': text}"
-
-
-@query(f"""
-SELECT conv_id, max(length(text)) AS peak_fill, arg_max(length(text), {_TURN}) AS final_fill, arg_min(length(text), {_TURN}) AS first_fill,
-       arg_min(role, {_TURN}) = 'system' AS cold_start
-FROM conversations GROUP BY conv_id
-""")
-def window_fill(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").select("conv_id", "role", F.char_length("text").cast("long").alias("fill"), F.struct("turn", "role", "text").alias("seq"))
-    return rows.groupBy("conv_id").agg(
-        F.max("fill").alias("peak_fill"), F.max_by("fill", "seq").alias("final_fill"), F.min_by("fill", "seq").alias("first_fill"),
-        (F.min_by("role", "seq") == "system").alias("cold_start"),
-    )
-
-
 @query("""
 WITH own AS (SELECT s_suppkey AS ref, n_name AS server FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 3 <> 0),
 both_ AS (
@@ -266,28 +250,6 @@ def result_attribution(spark: SparkSession, d: str) -> DataFrame:
     return attribution.attribute(calls, results, owner, "server")
 
 
-@query("SELECT conv_id, turn, role, length(text) AS chars, length(text) // 4 AS est_tokens FROM conversations WHERE role <> 'system' ORDER BY chars DESC, conv_id, turn LIMIT 12")
-def heaviest_items(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where("role <> 'system'").withColumn("chars", F.char_length("text").cast("long"))
-    return rows.orderBy(F.desc("chars"), "conv_id", "turn").limit(12).select("conv_id", "turn", "role", "chars", X.est_tokens(F.col("chars")).alias("est_tokens"))
-
-
-@query("""
-SELECT coalesce(max((props::JSON->>'k')::BIGINT) FILTER (WHERE event_type = 'view'), 0) AS most_view, coalesce(max((props::JSON->>'k')::BIGINT) FILTER (WHERE event_type = 'click'), 0) AS most_click,
-       coalesce(sum(strlen(props)) FILTER (WHERE event_type = 'purchase'), 0)::BIGINT AS purchase_bytes, count(*) FILTER (WHERE event_type = 'logout') AS logouts,
-       string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds
-FROM events
-""")
-def inventory(spark: SparkSession, d: str) -> DataFrame:
-    k = F.get_json_object("props", "$.k").cast("long")
-    is_a = lambda t: F.col("event_type") == t
-    return table(spark, d, "events").agg(
-        X.zero(F.max(F.when(is_a("view"), k))).alias("most_view"), X.zero(F.max(F.when(is_a("click"), k))).alias("most_click"),
-        X.zero(F.sum(F.when(is_a("purchase"), F.octet_length("props")))).cast("long").alias("purchase_bytes"), F.count_if(is_a("logout")).alias("logouts"),
-        F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"),
-    )
-
-
 _LEAVES = {"input": "l_quantity", "output": "l_tax * 100", "cache-read": "l_discount * 100"}
 _UNPIVOT = " UNION ALL ".join(f"SELECT l_returnflag AS flag, l_linestatus AS status, '{k}' AS leaf, round({e})::BIGINT AS w FROM lineitem" for k, e in _LEAVES.items())
 
@@ -340,39 +302,6 @@ def classify_conversations(spark: SparkSession, d: str) -> DataFrame:
     return classify.classify(rows).select("conv_id", "task_type", "confidence")
 
 
-def _texts_sql() -> str:
-    return """
-WITH texts AS (
-  SELECT * FROM (VALUES (1, 'Fix this bug, the login fails', 3, 0, 4), (2, 'Implement a new feature: add an endpoint', 1, 1, 0), (3, 'Explain how does this work', 0, 0, 0), (4, 'ok, go on', 0, 0, 0),
-                        (5, 'please rename and move things', 4, 0, 0)) t(id, prompt, n_edit, n_write, n_bash)
-)
-SELECT id, CASE id WHEN 1 THEN 'Debugging' WHEN 2 THEN 'FeatureWork' WHEN 3 THEN 'Exploration' WHEN 4 THEN 'Unknown' ELSE 'Refactoring' END AS task_type,
-       CASE id WHEN 1 THEN (3 * 2.0 + 3) / (3 * 2.0 + 3 + 3) WHEN 2 THEN 1.0 WHEN 3 THEN 1.0 WHEN 4 THEN 0.0 ELSE 1.0 END::DOUBLE AS confidence
-FROM texts
-"""
-
-
-@query(_texts_sql())
-def classify_by_tools(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(1, "Fix this bug, the login fails", 3, 0, 4), (2, "Implement a new feature: add an endpoint", 1, 1, 0), (3, "Explain how does this work", 0, 0, 0),
-            (4, "ok, go on", 0, 0, 0), (5, "please rename and move things", 4, 0, 0)]
-    df = spark.createDataFrame(rows, "id int, prompt string, n_edit int, n_write int, n_bash int")
-    df = df.withColumn("prompts", F.array(X.ascii_lower(F.col("prompt")))).withColumns({c: F.lit(0) for c in ("n_read", "n_grep", "n_glob")})
-    return classify.classify(df).select("id", "task_type", "confidence")
-
-
-@query("""
-SELECT u.conv_id, u.turn, length(u.text) AS chars, a.text IS NOT NULL AS answered, left(a.text, 20) AS summary
-FROM (SELECT * FROM conversations WHERE role = 'user') u
-LEFT JOIN (SELECT conv_id, turn, arg_min(text, text) AS text FROM conversations WHERE role = 'assistant' GROUP BY 1, 2) a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
-""")
-def turns(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations")
-    notes = rows.where("role = 'assistant'").groupBy(F.col("conv_id").alias("c"), F.col("turn").alias("t")).agg(F.min_by("text", "text").alias("note"))
-    met = rows.where("role = 'user'").join(notes, (F.col("conv_id") == F.col("c")) & (F.col("t") == F.col("turn") + 1), "left")
-    return met.select("conv_id", "turn", F.char_length("text").cast("long").alias("chars"), F.col("note").isNotNull().alias("answered"), F.substring("note", 1, 20).alias("summary"))
-
-
 @query("""
 SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_purchase
 FROM events
@@ -382,28 +311,18 @@ def carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return ranking.carry_forward(events, ["user_id"], ["ts", "event_id"], "p", "last_purchase").select("event_id", "last_purchase")
 
 
-@query("""
-SELECT user_id, arg_max(event_type, {'n': n, 't': event_type}) AS mode FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1
-""")
-def session_model_mode(spark: SparkSession, d: str) -> DataFrame:
-    """The most frequent value; of equals the largest."""
-    n = table(spark, d, "events").groupBy("user_id", "event_type").count()
-    return n.groupBy("user_id").agg(F.max_by("event_type", F.struct("count", "event_type")).alias("mode"))
-
-
 @query(r"SELECT doc_id, left(trim(regexp_extract(text, '[^\n]*[^\s][^\n]*')), 80) AS snippet FROM documents")
 def snippet(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.expr(X.snippet_sql("text")).alias("snippet"))
 
 
-_NAMES = ("mcp__github__search", "mcp__acme-db__bulk__insert", "Read", "mcp__", "xmcp__a__b")
-
-
-@query(f"""
-SELECT name, CASE WHEN starts_with(name, 'mcp__') THEN split_part(name, '__', 2) END AS server FROM (VALUES {", ".join(f"('{n}')" for n in _NAMES)}) t(name)
+@query("""
+SELECT p_partkey, CASE WHEN starts_with(name, 'mcp__') THEN split_part(name, '__', 2) END AS server
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'mcp__' || p_type || '__search' WHEN 1 THEN 'mcp__' || p_brand || '__bulk__insert' WHEN 2 THEN p_name ELSE 'xmcp__a__' || p_name END AS name FROM part)
 """)
 def mcp_server(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in _NAMES], "name string").select("name", X.server_of(F.col("name")).alias("server"))
+    name = "CASE p_partkey % 4 WHEN 0 THEN 'mcp__' || p_type || '__search' WHEN 1 THEN 'mcp__' || p_brand || '__bulk__insert' WHEN 2 THEN p_name ELSE 'xmcp__a__' || p_name END"
+    return table(spark, d, "part").select("p_partkey", F.expr(name).alias("name")).select("p_partkey", F.expr(X.server_sql("name")).alias("server"))
 
 
 @query("SELECT p_partkey, left(p_name, 8) AS short_id FROM part")
@@ -426,14 +345,7 @@ def disjoint_usage(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 4 != 0, F.col("l_quantity").cast("long")).alias("i"),
         F.when(F.col("l_linenumber") % 3 != 0, F.round(F.col("l_tax") * 400).cast("long")).alias("cache_read"),
     )
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(X.minus_floor0(F.col("i"), F.col("cache_read")), F.lit(-1)).alias("input"), F.coalesce("cache_read", F.lit(-1)).alias("cache_read"))
-
-
-@query("SELECT DISTINCT c_mktsegment AS model FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') ORDER BY 1")
-def unpriced_models(spark: SparkSession, d: str) -> DataFrame:
-    prices = pricing.price_table(spark, snapshot={"building": (1.0,) * 5, "machinery": (1.0,) * 5})
-    rows = pricing.with_prices(table(spark, d, "customer").select(F.col("c_mktsegment").alias("model")), prices)
-    return rows.where("price IS NULL").select("model").distinct().orderBy("model")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(F.expr(X.less_sql("i", "cache_read")), F.lit(-1)).alias("input"), F.coalesce("cache_read", F.lit(-1)).alias("cache_read"))
 
 
 @query("SELECT user_id, bool_or(event_type = 'purchase') AS has_thinking, bool_or(event_type = 'purchase') AND NOT bool_or(value > 50) AS encrypted, count(*) AS n_lines FROM events GROUP BY 1")
@@ -441,4 +353,4 @@ def encrypted_flags(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "events").select(
         "user_id", (F.col("event_type") == "purchase").alias("has_thinking"), (F.col("value") > 50).cast("long").alias("thinking_chars"), F.struct("ts", "event_id").alias("seq"))
     merged = dedup.merge_lines(lines, ["user_id"], "seq", sums=["thinking_chars"], ors=["has_thinking"])
-    return merged.select("user_id", "has_thinking", (F.col("has_thinking") & (F.col("thinking_chars") == 0)).alias("encrypted"), "n_lines")
+    return merged.select("user_id", "has_thinking", dedup.encrypted().alias("encrypted"), "n_lines")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 USAGE_T = (
@@ -82,28 +82,45 @@ def strict(strings: tuple = (), counters: tuple = (), objects: tuple = (), array
     return " OR ".join(f"({t})" for t in tests)
 
 
+BLANK = r"(?U)^\s*$"
+
+
+def path_of(uri: str) -> Column:
+    """A file's path as it is written."""
+    return F.expr(f"url_decode(replace({uri}, '+', '%2B'))")
+
+
+def _files(spark: SparkSession, roots: list[str], glob: str, kind: str, **options: str) -> DataFrame:
+    read = spark.read.format(kind).option("recursiveFileLookup", True).option("pathGlobFilter", glob).options(**options)
+    return read.load(roots).withColumn("file_id", F.col("_metadata.file_path"))
+
+
 def read_lines(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
-    """The lines of all files under ``roots``, numbered from 0. Blank lines go after numbering.
+    """The lines of all files under ``roots``, numbered from 0.
 
-    A file is one row until it is split, which keeps its lines' order; session logs are small. Any
-    path that Spark reads will do. Files that can't be read are skipped.
+    A file is one row until it is split, which keeps its lines' order; so a file may have 2 GB at most, which no
+    session log comes near. Any path that Spark reads will do. Files that can't be read are skipped
+    here; ``listed`` has them all.
     """
     if not roots:
         return spark.createDataFrame([], LINES)
-    files = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True)
-        .option("ignoreMissingFiles", True).text(roots, wholetext=True)
-    )
+    files = _files(spark, roots, glob, "text", wholetext="true", ignoreCorruptFiles="true", ignoreMissingFiles="true")
     return split_lines(files.select(
-        F.col("_metadata.file_path").alias("file_id"), F.expr("url_decode(replace(_metadata.file_path, '+', '%2B'))").alias("path"),
-        F.col("_metadata.file_size").cast("long").alias("size_bytes"), F.col("_metadata.file_modification_time").alias("modified"), "value",
+        "file_id", path_of("file_id").alias("path"), F.col("_metadata.file_size").cast("long").alias("size_bytes"),
+        F.col("_metadata.file_modification_time").alias("modified"), "value",
     ))
 
 
+def listed(spark: SparkSession, roots: list[str], glob: str = "*.jsonl") -> DataFrame:
+    """``file_id`` and ``path`` of all files under ``roots``, without reading them."""
+    if not roots:
+        return spark.createDataFrame([], "file_id string, path string")
+    return _files(spark, roots, glob, "binaryFile").select("file_id", path_of("file_id").alias("path"))
+
+
 def split_lines(files: DataFrame) -> DataFrame:
-    """From rows of whole files (column ``value``) to rows of lines."""
-    out = files.select("*", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).drop("value")
-    return out.where(F.length(F.trim(F.col("line"))) > 0)
+    """From rows of whole files (column ``value``) to rows of lines. A file has one line at least."""
+    return files.select("*", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).drop("value")
 
 
 @dataclass
@@ -114,18 +131,29 @@ class Parsed:
     extra: dict[str, object] = field(default_factory=dict)  # more aggregates for files, by name
 
 
+FAILED = "file_id string, path string"
+
+
 @dataclass
 class Logs:
     """Normalized logs.
 
     ``files``: one row per file. ``events``: one row per event, ordered in a file by (line_no, sub_seq).
+    ``failed``: files that were found but could not be read. ``held`` is what reading keeps in memory or on disk.
     """
 
     files: DataFrame
     events: DataFrame
+    failed: DataFrame
+    held: list[DataFrame] = field(default_factory=list)
 
     def union(self, other: Logs) -> Logs:
-        return Logs(self.files.unionByName(other.files), self.events.unionByName(other.events))
+        return Logs(self.files.unionByName(other.files), self.events.unionByName(other.events), self.failed.unionByName(other.failed), self.held + other.held)
+
+    def close(self) -> None:
+        """Give back what reading keeps."""
+        for df in self.held:
+            df.unpersist()
 
     def tool_calls(self) -> DataFrame:
         """One row per tool call, with the keys of its event."""
@@ -137,10 +165,11 @@ class Logs:
         """Write the tables as Parquet, by agent, to read them again without parsing."""
         self.files.write.mode("overwrite").partitionBy("agent").parquet(f"{path}/files")
         self.events.write.mode("overwrite").parquet(f"{path}/events")
+        self.failed.write.mode("overwrite").parquet(f"{path}/failed")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Logs:
-        return cls(spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/events"))
+        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("files", "events", "failed")))
 
     def register(self, prefix: str = "") -> None:
         """Temporary views for SQL."""
@@ -178,11 +207,14 @@ class Source:
         if self.parse is None:
             raise NotImplementedError(f"source {self.id!r} can be detected, but its logs can't be read yet")
         found = [r for r in self.roots() if os.path.isdir(r)] if roots is None else roots
-        return self.from_lines(read_lines(spark, found, self.glob).where(self.accepts))
+        return self.from_lines(read_lines(spark, found, self.glob).where(self.accepts), listed(spark, found, self.glob).where(self.accepts))
+
+    def from_lines(self, lines: DataFrame, files: DataFrame | None = None) -> Logs:
+        """Logs from the columns of ``read_lines``; of ``files`` (``listed``) those without a line have failed.
 
-    def from_lines(self, lines: DataFrame) -> Logs:
-        """Logs from the columns of ``read_lines``."""
-        parsed = self.parse(lines.withColumn("v", F.expr("try_parse_json(line)")))
+        Blank lines are numbered and then left out; a file of blank lines is a session without events.
+        """
+        parsed = self.parse(lines.where(~F.col("line").rlike(BLANK)).withColumn("v", F.expr("try_parse_json(line)")))
         # files and events both come from these rows, so lines are parsed once; a lost part is parsed again.
         # The cache also keeps the optimizer from copying the parsing expressions into each field's use.
         rows = parsed.lines.persist(StorageLevel.MEMORY_AND_DISK)
@@ -197,14 +229,17 @@ class Source:
         tally = rows.where("tally IS NOT NULL").groupBy("file_id", "tally").count()
         mode = tally.groupBy("file_id").agg(F.max_by("tally", F.struct("count", "tally")).alias("mode"))  # of equals the largest name
         paths = lines.groupBy("file_id").agg(F.first("path").alias("path"), F.first("size_bytes").alias("size_bytes"), F.first("modified").alias("modified"))
-        files = paths.join(of_lines, "file_id").join(mode, "file_id", "left").select(
+        failed = lines.sparkSession.createDataFrame([], FAILED) if files is None else files.join(paths, "file_id", "left_anti").select("file_id", "path")
+        none = F.lit(0).cast("long")
+        met = paths.join(of_lines, "file_id", "left").withColumns({c: F.coalesce(c, none) for c in ("skipped_lines", "spawn_calls")})
+        files = met.join(mode, "file_id", "left").select(
             "file_id", "path", F.lit(self.id).alias("agent"), F.expr(self.session_id).alias("session_id"), F.expr(self.parent_session).alias("parent_session"),
             F.expr(f"coalesce(seen_project, {self.project})").alias("project"), F.coalesce("mode", "last_model").alias("model"),
             F.coalesce("header_start", "first_ts").alias("started_at"), F.col("last_ts").alias("ended_at"), "size_bytes", "modified", "skipped_lines", "spawn_calls",
         )
         files = files.withColumn("row_id", F.coalesce("parent_session", "session_id"))
         # discovery: the newest first, then by path
-        return Logs(files.withColumn("disc", F.struct((-F.coalesce(F.unix_micros("modified"), F.lit(0))).alias("age"), F.col("path").alias("at"))), events)
+        return Logs(files.withColumn("disc", F.struct((-F.coalesce(F.unix_micros("modified"), F.lit(0))).alias("age"), F.col("path").alias("at"))), events, failed, [rows])
 
 
 def collect(logs: list[Logs]) -> Logs:

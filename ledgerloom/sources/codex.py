@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import chars_sql, last_by, server_sql, snippet_sql
+from ledgerloom.functions.exprs import chars_sql, last_by, less_sql, server_sql, snippet_sql
+from ledgerloom.operators.ranking import carry_forward
 from ledgerloom.sources.base import Parsed, Source, env_paths, event, kind_of, long_at, raw_at, strict, text_at, time_at, usage
 
 _P, _L = "$.payload", "$.payload.info.last_token_usage"
@@ -28,9 +29,10 @@ def parse(lines: DataFrame) -> Parsed:
         f"coalesce({text_at(f'{_P}.invocation.tool')}, {text_at(f'{_P}.tool')}) AS tool",
     )
     upto = W.partitionBy("file_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    turn = F.last(F.when((F.col("type") == "turn_context") & ~F.col("bad"), F.col("model_said")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("turn_model", F.when((F.col("type") == "turn_context") & ~F.col("bad"), F.col("model_said")))
+    rows = carry_forward(rows, ["file_id"], ["line_no"], "turn_model", "turn")
     meta = F.first(F.when((F.col("type") == "session_meta") & ~F.col("bad"), F.col("model_said")), ignorenulls=True).over(upto)
-    rows = rows.withColumn("current_model", F.coalesce(turn, meta))
+    rows = rows.withColumn("current_model", F.coalesce("turn", meta))
     rows = rows.withColumn("text", F.expr(
         "CASE WHEN content_kind = 'STRING' THEN content WHEN content_kind LIKE 'ARRAY%' THEN "
         "aggregate(filter(transform(from_json(content, 'array<struct<text:string>>'), b -> b.text), x -> x IS NOT NULL), '', "
@@ -42,9 +44,8 @@ def parse(lines: DataFrame) -> Parsed:
         kind="'ToolCall'", ts="ts", content_chars=size,
         tool_calls=f"array(named_struct('id', call_id, 'name', name, 'input_bytes', {size}, 'server', {server_sql('name')}))",
     )
-    less = lambda a, b: f"CASE WHEN {a} IS NOT NULL THEN greatest({a} - coalesce({b}, 0), 0) END"
     counts = usage(
-        input=less("input_tokens", "cached_input_tokens"), output=less("output_tokens", "reasoning_output_tokens"),
+        input=less_sql("input_tokens", "cached_input_tokens"), output=less_sql("output_tokens", "reasoning_output_tokens"),
         cache_read="cached_input_tokens", thinking="reasoning_output_tokens",
     )
     spent = event(kind="'Assistant'", ts="ts", model="current_model", usage=counts, has_thinking="coalesce(reasoning_output_tokens, 0) > 0")

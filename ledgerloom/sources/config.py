@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import logging
 import os
 import tomllib
+import urllib.request
 from dataclasses import dataclass
 
 from ledgerloom.operators.pricing import RATES
@@ -32,16 +34,37 @@ class Config:
         return cls(agent if isinstance(agent, str) else None)
 
 
-def price_cache(path: str) -> dict[str, Rates]:
+def cache_file() -> str:
+    """Where prices are kept: $LEDGERLOOM_PRICES, else below the user's cache folder."""
+    return os.environ.get("LEDGERLOOM_PRICES") or os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "ledgerloom", "prices.json")
+
+
+def price_cache(path: str | None = None) -> dict[str, Rates]:
     """Overrides from ``{source, refreshed_at, models: {id: rates}}``; none if there are none."""
     try:
-        with open(path) as f:
+        with open(path or cache_file()) as f:
             models = json.load(f)["models"]
         return {k: tuple(float(v[r]) for r in RATES) for k, v in models.items()}
     except (OSError, ValueError, KeyError, TypeError, AttributeError):
         return {}
 
 
+def refresh_prices(source: str, path: str | None = None) -> int:
+    """Read a listing (a URL or a file) and keep its prices; their number. Raises if it can't be read or has none."""
+    opened = urllib.request.urlopen(source, timeout=20) if "://" in source else open(source, "rb")  # noqa: S310
+    with opened as f:
+        prices = per_token_prices(json.load(f))
+    if not prices:
+        raise ValueError(f"no prices in {source}")
+    path = path or cache_file()
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    kept = {"source": source, "refreshed_at": dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), "models": {k: dict(zip(RATES, v, strict=True)) for k, v in prices.items()}}
+    with open(f"{path}.new", "w") as f:
+        json.dump(kept, f, indent=1)
+    os.replace(f"{path}.new", path)
+    return len(prices)
+
+
 def per_token_prices(listing: dict) -> dict[str, Rates]:
     """Rates from a public listing of USD per token. What it leaves out follows from the input rate:
     cache reads a tenth, five-minute writes 1.25 times, and one-hour writes 1.6 times those."""

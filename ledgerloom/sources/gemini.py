@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.exprs import USAGE, chars_sql, server_sql, snippet_sql
+from ledgerloom.functions.exprs import USAGE, chars_sql, less_sql, server_sql, snippet_sql
 from ledgerloom.sources.base import Parsed, Source, env_paths, event, kind_of, long_at, part_of_path, raw_at, strict, text_at, time_at, usage
 
 _COUNTS = ("input", "output", "cached", "thoughts", "tool", "total")
@@ -34,7 +34,7 @@ def parse(lines: DataFrame) -> Parsed:
         ),
         "usage": F.expr(
             "CASE WHEN tokens_kind LIKE 'OBJECT%' THEN "
-            + usage(input="CASE WHEN t_input IS NOT NULL THEN greatest(t_input - coalesce(t_cached, 0), 0) END", output="t_output", cache_read="t_cached", thinking="t_thoughts") + " END"
+            + usage(input=less_sql("t_input", "t_cached"), output="t_output", cache_read="t_cached", thinking="t_thoughts") + " END"
         ),
         "blocks": F.expr("CASE WHEN type = 'user' AND content_kind LIKE 'ARRAY%' THEN try_variant_get(v, '$.content', 'array<variant>') END"),
     })

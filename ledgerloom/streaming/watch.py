@@ -25,10 +25,28 @@ def watch_roots(source: Source, roots: list[str] | None = None) -> list[str]:
     return sorted(found)
 
 
+def _remote(root: str) -> State:
+    """``state`` of a folder that only Spark's file systems reach."""
+    sc = SparkSession.active().sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    out: State = {}
+    if fs.exists(where):
+        files = fs.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            if (path := f.getPath().toString()).endswith(".jsonl"):
+                out[path] = (f.getLen(), f.getModificationTime() * 1_000_000)
+    return out
+
+
 def state(roots: list[str]) -> State:
-    """Size and time of every log file."""
+    """Size and time of every log file; a root with a scheme (s3://...) is listed by Spark."""
     out: State = {}
     for root in roots:
+        if "://" in root:
+            out |= _remote(root)
+            continue
         for folder, _, names in os.walk(root):
             for n in names:
                 if n.endswith(".jsonl"):
@@ -63,8 +81,9 @@ def watch(spark: SparkSession, source: Source, report: Callable[[Logs], None], r
     roots = source.roots() if roots is None else roots
     watch_roots(source, roots)
     for n, _ in enumerate(changes(roots), 1):
-        report(source.read(spark, roots))
-        spark.catalog.clearCache()
+        logs = source.read(spark, roots)
+        report(logs)
+        logs.close()
         if times is not None and n >= times:
             return
 
@@ -78,6 +97,8 @@ def stream(spark: SparkSession, source: Source, report: Callable[[Logs], None],
         now = state(roots)
         if not seen or seen[-1] != now:
             seen[:] = [now]
-            report(source.read(spark, roots))
+            logs = source.read(spark, roots)
+            report(logs)
+            logs.close()
 
     return spark.readStream.format("rate").option("rowsPerSecond", 1).load().writeStream.foreachBatch(tick).trigger(processingTime=every).start()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, REPO)
+sys.path[:0] = [REPO, os.path.join(REPO, "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join([REPO, os.environ.get("PYTHONPATH", "")])
 SF = "/root/testdata/sf0.001"
 

@@ -1,4 +1,4 @@
-"""Small invented logs of each source, as text. Tests and fixture queries read them."""
+"""Small invented logs of each source, as text, for tests."""
 
 from __future__ import annotations
 

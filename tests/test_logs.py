@@ -7,8 +7,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+import fixtures as X
 from ledgerloom import cli
-from ledgerloom.plans import fixtures as X
 from ledgerloom.plans import render
 from ledgerloom.plans import reports as R
 from ledgerloom.sources import registry
@@ -112,7 +112,7 @@ def test_sinks(spend):
     flame = R.flame(spend)
     assert sum(int(r.line.rsplit(" ", 1)[1]) for r in R.folded(flame).collect()) == 18080
     assert render.svg(flame).count("<rect") > 5 and "thinking" not in render.svg(flame)
-    assert "BY MODEL" in render.tables(R.summary(spend))
+    assert "BY MODEL" in render.tables("summary", R.summary(spend))
     assert (render.cost(None), render.cost(1.5), render.cost(0.25, 1, 2), render.cost(0.0, 2, 2)) == ("?", "$1.50", "≥$0.2500", "?")
 
 
@@ -170,6 +170,114 @@ def test_routing_errors(spark):
         registry.by_id("cursor").read(spark)
 
 
+def test_blank_lines_and_files_without_events(spark):
+    logs = X.logs(spark, "claude-code", {"/x/projects/p/a.jsonl": "\t\n \u00a0\n\n", "/x/projects/p/b.jsonl": "", "/x/projects/p/c.jsonl": "x\n\t \n"})
+    assert {r.session_id: r.skipped_lines for r in logs.files.collect()} == {"a": 0, "b": 0, "c": 1}
+    assert R.summary(R.Books.open(logs))["health"].head().sessions_parsed == 3
+
+
+def test_files_that_cannot_be_read_are_counted(spark):
+    lines = X.lines(spark, X.SPEND)
+    found = lines.select("file_id", "path").distinct().unionByName(spark.createDataFrame([("/x/projects/p/gone.jsonl",) * 2], "file_id string, path string"))
+    logs = registry.by_id("claude-code").from_lines(lines, found)
+    assert [r.path for r in logs.failed.collect()] == ["/x/projects/p/gone.jsonl"]
+    health = R.summary(R.Books.open(logs))["health"].head()
+    assert (health.sessions_parsed, health.sessions_failed) == (3, 1)
+    assert "3 sessions parsed, 1 failed" in render.tables("summary", R.summary(R.Books.open(logs)))
+
+
+def test_links_are_not_followed(spark, tmp_path):
+    real = tmp_path / "projects" / "p"
+    real.mkdir(parents=True)
+    (real / "a.jsonl").write_text("{}\n")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "b.jsonl").write_text("{}\n")
+    assert set(watch.state([str(tmp_path / "projects")])) == {str(real / "a.jsonl")}
+    assert {os.path.basename(k) for k in watch.state([f"file://{tmp_path}"])} == {"a.jsonl", "b.jsonl"}
+
+
+def test_unpriced_rows_are_no_money(spark):
+    logs = X.logs(spark, "codex", X.CODEX)
+    text = render.tables("summary", R.summary(R.Books.open(logs)))
+    model = next(x for x in text.splitlines() if x.startswith("gpt-5.5"))
+    assert "?" in model and "$0.00" not in model and "unpriced models" in text
+
+
+def test_text_reports(spend, spark):
+    text = {n: render.tables(n, getattr(R, n)(spend)) for n in ("summary", "anomalies", "drilldown")}
+    text["classify"] = render.tables("classify", R.classify(R.Books.open(X.logs(spark, "claude-code", X.KINDS))))
+    text["context"] = render.tables("context", R.context(R.Books.open(X.logs(spark, "claude-code", X.CONTEXT))))
+    for n, parts in {
+        "summary": ["18,080", "30,850", "requestId dedup", "sub-agent share", "overstate by 71%", "BY MODEL", "BY DAY", "TOP TOOLS", X.A, X.B],
+        "anomalies": ["request(s) analyzed", "CONCENTRATION", "HEAVIEST REQUESTS", "RETRY STORMS", "none detected.", "of requests hold", "NOTES"],
+        "classify": ["session(s) classified", "BY TASK TYPE", "SESSIONS", "Feature work", "prompt keyword", "NOTES"],
+        "context": ["MEASURED", "ESTIMATED", "18,020", "acme-db", "mcp__acme-db__bulk_insert", "not bloat", "TOP SESSIONS BY PEAK WINDOW"],
+        "drilldown": ["SESSIONS", "TURNS", "First I read the router."],
+    }.items():
+        assert all(p in text[n] for p in parts), (n, [p for p in parts if p not in text[n]])
+    empty = R.Books.open(spend.logs, since="2030-01-01")
+    assert all("no usage data found" in render.tables(n, getattr(R, n)(empty)) for n in ("summary", "anomalies", "classify"))
+
+
+def as_json(name, books):
+    out = io.StringIO()
+    render.write_json(render.document(name, getattr(R, name)(books), "claude-code"), out)
+    return json.loads(out.getvalue())
+
+
+def test_json_reports(spend, spark):
+    rollup = {"requests", "input", "output", "cache_creation", "cache_read", "incomplete_requests", "cost_usd", "unpriced_requests"}
+    s = as_json("summary", spend)
+    assert set(s) == {"agent", "generated_at", "since", "sessions_parsed", "sessions_failed", "skipped_lines", "dedup", "totals", "sidechain_totals", "by_model", "by_day", "by_session", "by_tool", "unpriced_models", "compactions"}
+    assert set(s["totals"]) == rollup == set(s["by_model"][X.A]) and s["totals"]["input"] == 5600 and sum(x["requests"] for x in s["by_day"].values()) == 6
+    assert set(s["by_session"][0]) == {"id", "project", "model", "started_at", "rollup", "sub_agents", "sub_agent_tokens"} and s["by_tool"]["Read"]["calls"] == 1
+    c = as_json("context", R.Books.open(X.logs(spark, "claude-code", X.CONTEXT)))
+    assert c["max_startup_overhead"][1] == 18020 and c["deferred_tools"] == 12 and c["skills_listed"] == 5 and c["mcp_servers"] == ["acme-db", "github"]
+    assert {"peak_input_tokens", "final_input_tokens", "startup_overhead_tokens", "total_content_chars", "sidechain"} < set(c["sessions"][0])
+    assert c["sessions"][0]["total_content_chars"] == sum(x["chars"] for x in c["sessions"][0]["sources"])
+    a = as_json("anomalies", spend)
+    assert a["requests_analyzed"] == 6 and [x["request_fraction"] for x in a["concentration"]] == [0.01, 0.05, 0.1, 0.25] and a["retry_storms"] == [] and a["storm_min_requests"] == 5
+    k = as_json("classify", spend)
+    assert k["sessions_classified"] == 2 and set(k["by_task_type"][0]) == {"task_type", "sessions", "rollup", "token_share", "cost_share"} and k["sessions"][0]["signals"]
+    d = as_json("drilldown", spend)
+    assert len(d["turns"]) == 6 and {"summary", "tools", "encrypted"} < set(d["turns"][0])
+    none = as_json("summary", R.Books.open(spend.logs, since="2030-01-01"))
+    assert none["by_model"] in ({}, []) and none["totals"]["requests"] == 0
+
+
+def test_three_levels_and_refreshed_prices(spark, tmp_path, monkeypatch, capsys):
+    p = tmp_path / "projects" / "app" / "s1.jsonl"
+    p.parent.mkdir(parents=True)
+    p.write_text(X.SPEND["/x/projects/app/parent-0001.jsonl"])
+    monkeypatch.setenv("LEDGERLOOM_CONFIG", str(tmp_path / "none.toml"))
+    monkeypatch.setenv("LEDGERLOOM_PRICES", str(tmp_path / "cache" / "prices.json"))
+    (tmp_path / "listing.json").write_text(json.dumps({"claude-sonnet-4-5": {"input_cost_per_token": 1.0, "output_cost_per_token": 2.0}, "note": "x"}))
+
+    def call(*args):
+        out = io.StringIO()
+        cli.run(spark, cli.parser().parse_args(["--agent", "claude-code", "--root", str(tmp_path), *args]), out)
+        return out.getvalue()
+
+    assert "SESSIONS" in call("tui") and "s1" in call("tui")
+    text = call("tui", "--row", "s1")
+    assert "TURNS" in text and "First I read the router." in text and "INVENTORY" in text
+    before = json.loads(call("summary", "--json"))["totals"]["cost_usd"]
+    after = json.loads(call("--refresh-pricing", str(tmp_path / "listing.json"), "summary", "--json"))["totals"]["cost_usd"]
+    assert after > 1000 * before and json.loads(call("summary", "--json"))["totals"]["cost_usd"] == after
+    assert json.loads(call("--refresh-pricing", str(tmp_path / "nothing"), "summary", "--json"))["totals"]["cost_usd"] == after
+    assert "not refreshed" in capsys.readouterr().err
+    svg = tmp_path / "f.svg"
+    assert f"wrote flamegraph: {svg}" in call("flame", "--out", str(svg)) and 'id="legend"' in svg.read_text()
+    assert "nothing to draw" in call("--since", "2030-01-01", "flame", "--fold")
+
+
+def test_usage_that_says_nothing(spark):
+    from ledgerloom.functions import exprs as E
+
+    rows = spark.sql("SELECT named_struct('input', a, 'output', null, 'cache_creation', null, 'cache_creation_5m', 3, 'cache_read', null, 'thinking', b) AS usage FROM VALUES (1, null), (null, 0), (null, null) t(a, b)")
+    assert [r[0] for r in rows.select(E.is_empty()).collect()] == [False, False, True]
+
+
 def test_views(spend, spark):
     spend.logs.register("t_")
     assert spark.sql("SELECT count(*) FROM t_events WHERE kind = 'Assistant'").head()[0] == spend.logs.events.where(F.col("kind") == "Assistant").count()

@@ -32,9 +32,9 @@ def test_snippet(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(F.expr(X.snippet_sql("t"))).head()[0] == want
 
 
-def test_minus_floor0_keeps_unknown(spark):
+def test_less_keeps_unknown(spark):
     rows = spark.createDataFrame([(5, 3), (3, 5), (None, 5), (5, None)], "a long, b long")
-    assert [r[0] for r in rows.select(X.minus_floor0(F.col("a"), F.col("b"))).collect()] == [2, 0, None, 5]
+    assert [r[0] for r in rows.select(F.expr(X.less_sql("a", "b"))).collect()] == [2, 0, None, 5]
 
 
 def test_folded_line(spark):

@@ -5,10 +5,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
-from ledgerloom.plans import fixture_queries, table_queries
+from ledgerloom.plans import log_queries, table_queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-ORACLE = table_queries.ORACLE | fixture_queries.ORACLE
+ORACLE = table_queries.ORACLE | log_queries.ORACLE
 
 
 @pytest.fixture(scope="module")
