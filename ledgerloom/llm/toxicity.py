@@ -11,6 +11,7 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,11 +124,8 @@ class Lexicon:
         self.firsts = {s[:4] for s in self.plain}
         self.begins, self.inner = {s[:2] for s in long}, {s[3:5] for s in long}
 
-    def __getstate__(self) -> dict:
-        return {"plain": self.plain, "misspelt": self.misspelt}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__init__(**state)
+    def __reduce__(self) -> tuple:
+        return _lexicon, (tuple(self.plain.items()), tuple(self.misspelt.items()))
 
     def look_up(self, raw: str) -> tuple[int, str]:
         """(0: no hit, 1: plain, 2: misspelt; stem)."""
@@ -136,7 +134,7 @@ class Lexicon:
             return 0, ""
         if word[:4] in self.firsts and (stem := self.trie.prefix(word)):
             return 1, stem
-        other = word.translate(LOOKALIKE)
+        other = word if word.isalpha() else word.translate(LOOKALIKE)
         if other != word and other[:4] in self.firsts and (stem := self.trie.prefix(other)) in self.misspelt:
             return 2, stem
         inner = self.inner
@@ -185,6 +183,12 @@ class Lexicon:
         return np.minimum(out, MOST)
 
 
+@lru_cache(maxsize=4)
+def _lexicon(plain: tuple, misspelt: tuple) -> Lexicon:
+    """One lexicon a process, so that its tasks share what has been looked up."""
+    return Lexicon(dict(plain), dict(misspelt))
+
+
 def fit(x: np.ndarray, y: np.ndarray, n: np.ndarray, strength: float = 2.0) -> np.ndarray:
     """Logistic regression of rows that occur ``n`` times, by damped Newton steps, drawn towards ``PRIOR``."""
     x = np.column_stack([np.ones(len(x)), x])
