@@ -40,3 +40,21 @@ def test_no_chunk_is_too_long():
         cuts = list(line_dedup.chunks(text.encode()))
         assert max(n for _, _, n in cuts) <= 16 and sum(n for _, _, n in cuts) == text.count("\n")
         assert [b for _, b, _ in cuts[:-1]] == [a for a, _, _ in cuts[1:]]
+
+
+def test_blocks_fall_into_step_wherever_they_stand(spark):
+    """A block of lines put into many texts after other numbers of lines: most of it goes everywhere but in the first text."""
+    rng = random.Random(21)
+    block = [words(rng, 7) for _ in range(24)]
+    rows, where = [], {}
+    for i in range(40):
+        head, tail = [[words(rng, 7) for _ in range(rng.randint(0, 9))] for _ in "ht"]
+        rows.append((i, "\n".join([*head, *block, *tail])))
+        where[i] = len(head) + len(tail)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].n_removed == 0 and got[0].kept == rows[0][1]
+    assert all(0.6 * 24 <= got[i].n_removed <= 24 for i in range(1, 40))
+    for i in range(1, 40):  # what stays is the text without some lines of the block, in order
+        left = got[i].kept.split("\n")
+        own = [x for x in rows[i][1].split("\n") if x not in block]
+        assert [x for x in left if x not in block and x] == [x for x in own if x]
