@@ -193,24 +193,24 @@ def heaviest_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def _storms_sql(gap: int, least: int) -> str:
     return f"""
-WITH g AS (SELECT *, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id) > {gap} AS opens FROM events),
-r AS (SELECT *, sum(CASE WHEN coalesce(opens, true) THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
-SELECT event_type, min(ts) AS "start", max(ts) AS "end", count(*) AS requests, sum(value::DECIMAL(18,2))::DOUBLE AS tokens,
+WITH g AS (SELECT *, floor(epoch(ts))::BIGINT - lag(floor(epoch(ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) > {gap} AS opens FROM events),
+r AS (SELECT *, sum(CASE WHEN coalesce(opens, true) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g)
+SELECT user_id, min(ts) AS "start", max(ts) AS "end", count(*) AS requests, sum(value::DECIMAL(18,2))::DOUBLE AS tokens,
        floor(epoch(max(ts)))::BIGINT - floor(epoch(min(ts)))::BIGINT AS span_seconds
-FROM r GROUP BY event_type, run HAVING count(*) >= {least}
+FROM r GROUP BY user_id, run HAVING count(*) >= {least}
 """
 
 
-@query(_storms_sql(300, 5))
+@query(_storms_sql(43200, 5))
 def retry_storms(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    return ranking.bursts(events, ["event_type"], "ts", 300, 5, [F.sum(F.col("value").cast(MONEY)).cast("double").alias("tokens")])
+    return ranking.bursts(events, ["user_id"], "ts", 43200, 5, [F.sum(F.col("value").cast(MONEY)).cast("double").alias("tokens")])
 
 
-@query(_storms_sql(600, 3))
+@query(_storms_sql(86400, 3))
 def retry_storms_wide(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
-    return ranking.bursts(events, ["event_type"], "ts", 600, 3, [F.sum(F.col("value").cast(MONEY)).cast("double").alias("tokens")])
+    return ranking.bursts(events, ["user_id"], "ts", 86400, 3, [F.sum(F.col("value").cast(MONEY)).cast("double").alias("tokens")])
 
 
 _ROLE = "CASE role WHEN 'user' THEN 'UserPrompts' WHEN 'assistant' THEN 'AssistantText' ELSE 'Attachments' END"

@@ -85,6 +85,15 @@ def strict(strings: tuple = (), counters: tuple = (), objects: tuple = (), array
 BLANK = r"(?U)^\s*$"
 
 
+def links(roots: list[str]) -> list[str]:
+    """Symbolic links below local folders; what lies behind them is left out."""
+    found = []
+    for root in roots:
+        for folder, folders, names in os.walk(root.removeprefix("file://")) if "://" not in root or root.startswith("file://") else ():
+            found += [p for n in (*folders, *names) if os.path.islink(p := os.path.join(folder, n))]
+    return found
+
+
 def path_of(uri: str) -> Column:
     """A file's path as it is written."""
     return F.expr(f"url_decode(replace({uri}, '+', '%2B'))")
@@ -207,7 +216,10 @@ class Source:
         if self.parse is None:
             raise NotImplementedError(f"source {self.id!r} can be detected, but its logs can't be read yet")
         found = [r for r in self.roots() if os.path.isdir(r)] if roots is None else roots
-        return self.from_lines(read_lines(spark, found, self.glob).where(self.accepts), listed(spark, found, self.glob).where(self.accepts))
+        mine = F.expr(self.accepts)
+        for link in links(found):
+            mine &= ~(path_of("file_id").endswith(link) | F.contains(path_of("file_id"), F.lit(f"{link}/")))
+        return self.from_lines(read_lines(spark, found, self.glob).where(mine), listed(spark, found, self.glob).where(mine))
 
     def from_lines(self, lines: DataFrame, files: DataFrame | None = None) -> Logs:
         """Logs from the columns of ``read_lines``; of ``files`` (``listed``) those without a line have failed.

@@ -44,14 +44,15 @@ def state(roots: list[str]) -> State:
     """Size and time of every log file; a root with a scheme (s3://...) is listed by Spark."""
     out: State = {}
     for root in roots:
+        root = root.removeprefix("file://")
         if "://" in root:
             out |= _remote(root)
             continue
         for folder, _, names in os.walk(root):
             for n in names:
-                if n.endswith(".jsonl"):
+                if n.endswith(".jsonl") and not os.path.islink(p := os.path.join(folder, n)):
                     try:
-                        s = os.stat(p := os.path.join(folder, n))
+                        s = os.stat(p)
                     except OSError:
                         continue
                     out[p] = (s.st_size, s.st_mtime_ns)

@@ -192,8 +192,13 @@ def test_links_are_not_followed(spark, tmp_path):
     (real / "a.jsonl").write_text("{}\n")
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "b.jsonl").write_text("{}\n")
-    assert set(watch.state([str(tmp_path / "projects")])) == {str(real / "a.jsonl")}
+    (real / "linked").symlink_to(tmp_path / "other")
+    (real / "c.jsonl").symlink_to(tmp_path / "other" / "b.jsonl")
+    logs = registry.by_id("claude-code").read(spark, [str(tmp_path / "projects")])
+    assert [r.session_id for r in logs.files.collect()] == ["a"] and logs.failed.count() == 0
+    logs.close()
     assert {os.path.basename(k) for k in watch.state([f"file://{tmp_path}"])} == {"a.jsonl", "b.jsonl"}
+    assert list(watch._remote(f"file://{tmp_path}/other").values()) == [(3, pytest.approx(os.stat(tmp_path / "other" / "b.jsonl").st_mtime_ns, abs=1e6))] and watch._remote("file:///none") == {}
 
 
 def test_unpriced_rows_are_no_money(spark):
