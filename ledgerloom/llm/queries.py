@@ -23,43 +23,53 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of three-word shingles, and the component of those within two bits."""
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each document has and loses to chunks that occur earlier, and a digest of what is left."""
     return line_dedup.digest(_documents(spark, sf_dir))
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to strings of 400 bytes that also start elsewhere."""
     return suffix_dedup.digest(_documents(spark, sf_dir))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document loses to windows of 50 words that a smaller document has."""
     return substring_dedup.digest(_documents(spark, sf_dir))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
     return mixing.digest(_documents(spark, sf_dir))
 
 
 def op4_multiprobe_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth."""
     ship(spark)
     return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op6_rarity_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, its edited text's, and how alike they and the next document's are."""
     return rarity.digest(_documents(spark, sf_dir))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and of what they decode to."""
     return pieces.digest(_documents(spark, sf_dir), model_path())
 
 
 def op8_label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard of 16, equal counts, equal texts together."""
     return sharding.shards(_documents(spark, sf_dir))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's score, learned outside the held-out third."""
     return toxicity.digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 

@@ -165,6 +165,10 @@ def links(fps: DataFrame, budget: int, leaf: int = 16384, most_leaves: int = 409
     Every pair of fingerprints that differ in at most ``budget`` bits meets in exactly one task. A
     task returns a spanning forest of the pairs that it finds, not the pairs. (A fingerprint has at
     most sum C(64, i), i <= budget, partners, so the pairs grow in proportion to the rows.)
+
+    A fingerprint is sent to every leaf within the budget of its own. Leaves hold n / ``most_leaves`` at least, so
+    they are some 12 bits deep however many rows there are: at two bits 79 leaves at most, about half as many copies,
+    since a pair of leaves meets once. That is some 500 bytes for each of 10**9 fingerprints, and 160,000 pairs of leaves.
     """
     n = fps.count()
     leaf = max(leaf, n // most_leaves)

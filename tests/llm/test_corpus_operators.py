@@ -12,7 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import line_dedup, mixing, nearest, pieces, rarity, repeats, sharding, simhash, substring_dedup, suffix_dedup, toxicity, windows
+from ledgerloom.llm import line_dedup, mixing, nearest, pieces, rarity, repeats, sharding, similar, simhash, substring_dedup, suffix_dedup, toxicity, windows
 from ledgerloom.llm.common import BYTE_CODES, Rolling, mix64
 from ledgerloom.llm.components import components, local_roots
 from ledgerloom.llm.queries import model_path
@@ -148,6 +148,17 @@ def test_trie_join_of_many_leaves(spark):
         assert (local_roots(len(fps), np.array([at[r.u] for r in got], int), np.array([at[r.v] for r in got], int)) == want).all()
 
 
+def test_fingerprints_of_very_long_texts():
+    rng = random.Random(14)
+    long = " ".join(rng.choice(["alpha", "Beta", "gamma", "déjà", "x"]) + str(rng.randrange(50)) for _ in range(60_000))
+    assert simhash.fingerprint(long) == brute_fp(long)
+    bits = rarity.surprise(np.arange(65536) % 977)
+    raw = long.encode()
+    assert (rarity.features(raw, bits, chunk=5000) == rarity.features(raw, bits)).all() and len(rarity.fingerprint(raw, bits)) > 10
+    grams = similar.shingle_set(long, 5)
+    assert (similar.wide_fingerprint(grams, step=1000) == similar.wide_fingerprint(grams)).all()
+
+
 def test_simhash_on_odd_tables(empty, doubled):
     assert simhash.near_duplicates(empty).count() == 0
     got = simhash.near_duplicates(doubled)

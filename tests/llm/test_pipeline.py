@@ -1,7 +1,11 @@
 """The pipeline's stages, one after the other, and the queries' names."""
 
+import glob
+import os
+
 import __spark_entry__
 import corpus_pipeline
+import pytest
 from ledgerloom.llm import line_dedup, simhash
 
 
@@ -31,6 +35,22 @@ def test_stages_on_odd_tables(spark, docs, empty, doubled, rows):
     assert line_dedup.without_repeated_lines(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("table", ["docs", "doubled", "empty"])
+def test_run_on_odd_tables(spark, request, tmp_path, sf, table):
+    """Nulls in any column, empty and long texts, rows that repeat, no rows, and columns with names that stages use inside."""
+    docs = request.getfixturevalue(table)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert bool(got) == (table != "empty") and all(r.n_tokens == len(r.ids) for r in got)
+    kept = {r.doc_id for r in got}
+    assert kept <= {r.doc_id for r in docs.select("doc_id").collect()}
+    if table == "docs":  # of exact and near copies one at most stays, and documents without any stay or go by the mix alone
+        assert len(kept & {0, 1, 2}) <= 1 and len(kept & {80, 81, 82, 83}) <= 1 and len(kept & set(range(7, 60))) > 20
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert all(len(os.listdir(p)) == 1 for p in glob.glob(f"{folder}/pipeline-*"))  # the last stage's input alone
+
+
 def test_queries_are_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
