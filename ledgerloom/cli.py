@@ -13,11 +13,24 @@ from ledgerloom.functions import exprs as X
 from ledgerloom.plans import render
 from ledgerloom.plans import reports as R
 from ledgerloom.sources.base import Logs
-from ledgerloom.sources.config import Config, price_cache, refresh_prices
+from ledgerloom.sources.config import Config, greet_once, price_cache, refresh_prices
 from ledgerloom.sources.registry import SOURCES, route
 from ledgerloom.streaming.watch import watch
 
 
+WELCOME = """ledgerloom: where the tokens of coding agents went
+
+  ledgerloom summary       spend by model, day, session and tool
+  ledgerloom context       what fills the context windows
+  ledgerloom anomalies     where spend is concentrated, and bursts of requests
+  ledgerloom classify      what kind of work it was
+  ledgerloom flame         a flame graph (--out FILE.svg)
+  ledgerloom tui           sessions, their turns, their context
+  ledgerloom watch         the summary again whenever logs change
+
+--json for machines, --since YYYY-MM-DD for a window, --agent NAME to choose one of several."""
+
+
 def _date(text: str) -> str:
     return dt.date.fromisoformat(text).isoformat()
 
@@ -29,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prices", help="a price cache (JSON) over the built-in prices; else the user's own is looked for")
     p.add_argument("--refresh-pricing", metavar="LISTING", help="first read prices from a public listing (URL or file) into the cache")
     p.add_argument("--root", action="append", help="folder or other path with logs, instead of the agent's own")
-    sub = p.add_subparsers(dest="command", required=True)
+    sub = p.add_subparsers(dest="command")
     for name in ("summary", "context", "anomalies", "classify", "drilldown", "watch"):
         sub.add_parser(name).add_argument("--json", action="store_true")
     browse = sub.add_parser("tui", help="sessions, their turns, and what fills a session's window")
@@ -111,6 +124,12 @@ def levels(books: R.Books, row: str | None, out) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command is None:
+        greet_once()
+        print(WELCOME)
+        return 0
+    if sys.stderr.isatty() and greet_once():
+        print(WELCOME, file=sys.stderr)
     spark = SparkSession.builder.appName("ledgerloom").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     try:
         return run(spark, args)

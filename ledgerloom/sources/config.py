@@ -34,6 +34,17 @@ class Config:
         return cls(agent if isinstance(agent, str) else None)
 
 
+def greet_once(folder: str | None = None) -> bool:
+    """Whether nobody has been welcomed here yet; from now on somebody has. A folder that can't be written to never gets there."""
+    folder = folder or os.environ.get("LEDGERLOOM_STATE_DIR") or os.path.join(os.environ.get("XDG_DATA_HOME") or os.path.expanduser("~/.local/share"), "ledgerloom")
+    try:
+        os.makedirs(folder, exist_ok=True)
+        with open(os.path.join(folder, "greeted"), "x"):
+            return True
+    except OSError:
+        return False
+
+
 def cache_file() -> str:
     """Where prices are kept: $LEDGERLOOM_PRICES, else below the user's cache folder."""
     return os.environ.get("LEDGERLOOM_PRICES") or os.path.join(os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache"), "ledgerloom", "prices.json")

@@ -12,7 +12,7 @@ from ledgerloom import cli
 from ledgerloom.plans import render
 from ledgerloom.plans import reports as R
 from ledgerloom.sources import registry
-from ledgerloom.sources.config import Config, per_token_prices, price_cache
+from ledgerloom.sources.config import Config, greet_once, per_token_prices, price_cache
 from ledgerloom.streaming import watch
 
 
@@ -276,6 +276,13 @@ def test_three_levels_and_refreshed_prices(spark, tmp_path, monkeypatch, capsys)
     assert "nothing to draw" in call("--since", "2030-01-01", "flame", "--fold")
 
 
+def test_welcome(tmp_path, monkeypatch, capsys):
+    """Without a command nothing is read; a first greeting is remembered."""
+    monkeypatch.setenv("LEDGERLOOM_STATE_DIR", str(tmp_path / "state"))
+    assert cli.main([]) == 0 and "ledgerloom summary" in capsys.readouterr().out
+    assert not greet_once() and greet_once(str(tmp_path / "other")) and not greet_once(os.devnull)
+
+
 def test_usage_that_says_nothing(spark):
     from ledgerloom.functions import exprs as E
 
