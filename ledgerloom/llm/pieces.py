@@ -177,8 +177,8 @@ class Pieces:
 
     def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
         """The UTF-8 text of each array of ids; the space that encoding put in front goes."""
-        shown = self.shown
-        out = [self._spelt_out(x.tolist()) if self.is_byte[x].any() else b"".join([shown[i] for i in x.tolist()]) for x in ids]
+        show = self.shown.__getitem__
+        out = [self._spelt_out(x.tolist()) if self.is_byte[x].any() else b"".join(map(show, x.tolist())) for x in ids]
         return [t[1:] if t.startswith(b" ") else t for t in out]
 
     def decode(self, ids: list[int]) -> str:
