@@ -59,9 +59,9 @@ def keyed_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def parts_for(spark: SparkSession, total_bytes: int, per_part: int) -> int:
-    """Partitions for so many bytes, at least ``spark.sql.shuffle.partitions``."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(total_bytes) // per_part))
+def parts_for(spark: SparkSession, total_bytes: int, per_part: int, most: int = 400_000) -> int:
+    """Partitions for so many bytes, at least ``spark.sql.shuffle.partitions``; beyond ``most`` they grow instead (250 MB at 100 TB)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most, -(-int(total_bytes) // per_part)))
 
 
 def text_bytes(docs: DataFrame, text_col: str = "text") -> int:

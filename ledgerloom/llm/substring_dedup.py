@@ -19,7 +19,7 @@ from ledgerloom.llm import repeats, windows
 from ledgerloom.llm.common import keyed_docs, parts_for, ranges_to_mask
 
 
-def repeated_words(docs: DataFrame, window: int = 50, gram: int = 5, bucket_bytes: int = 32 << 20) -> DataFrame:
+def repeated_words(docs: DataFrame, window: int = 50, gram: int = 5, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Spans (in words) of ``docs`` (doc_id, text, th) that windows of smaller documents cover."""
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
     parts = parts_for(docs.sparkSession, size[1] or 0, bucket_bytes)

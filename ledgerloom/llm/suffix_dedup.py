@@ -133,7 +133,7 @@ def suffix_settler(scheme: windows.Scheme) -> repeats.Settle:
     return run
 
 
-def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 32, bucket_bytes: int = 32 << 20) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 32, bucket_bytes: int = 8 << 20) -> DataFrame:
     """Spans (in bytes) of ``docs`` (doc_id, text, th) that a repeated ``length``-byte string covers."""
     size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).head()
     parts = parts_for(docs.sparkSession, size[1] or 0, bucket_bytes)
