@@ -207,6 +207,13 @@ def log_context_session_sources(spark: SparkSession, d: str) -> DataFrame:
     return R.context(b)["session_sources"].join(names, "file_id").drop("file_id")
 
 
+@query(f"""{CONTEXT} SELECT row_id, source, sum(part_chars)::BIGINT AS chars, sum(part_chars)::BIGINT // 4 AS est_tokens,
+       sum(part_chars)::DOUBLE / sum(sum(part_chars)) OVER (PARTITION BY row_id)::DOUBLE AS share FROM pt GROUP BY 1, 2""")
+def log_context_row_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sub-agents' content counts towards their parent's row."""
+    return R.context(books(spark, d))["row_sources"]
+
+
 @query(f"""{CONTEXT}, o AS (SELECT id, server FROM c), a AS (
   SELECT coalesce(server, '(built-in)') AS server, 1 AS calls, bytes, 0 AS result FROM c
   UNION ALL SELECT coalesce(o.server, '(built-in)'), 0, 0, chars FROM ev LEFT JOIN o ON tool_use_id = id WHERE kind = 'ToolResult'

@@ -150,6 +150,7 @@ def context(books: Books, scope: Column | None = None, top: int = 12) -> Report:
         "sessions": sessions.orderBy(F.desc_nulls_last("peak_fill"), "session_id").drop("disc"),
         "sources": attribution.by_group(parts, "source", "chars").orderBy(F.desc("chars"), rank),
         "session_sources": attribution.by_group(parts, "source", "chars", "file_id").orderBy("file_id", F.desc("chars"), rank),
+        "row_sources": attribution.by_group(parts, "source", "chars", "row_id").orderBy("row_id", F.desc("chars"), rank),
         "servers": servers.orderBy(F.desc("est_tokens"), "server"),
         "heaviest": heaviest,
         "inventory": inventory,
@@ -158,7 +159,7 @@ def context(books: Books, scope: Column | None = None, top: int = 12) -> Report:
 
 
 def context_of(books: Books, row_id: str) -> Report:
-    """``context`` of one row of the sessions: its own file and its sub-agents'."""
+    """``context`` of one row of the sessions: its own file and its sub-agents'. (``row_sources`` has the sources of all rows.)"""
     return context(books, F.col("row_id") == row_id)
 
 
