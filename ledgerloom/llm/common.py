@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import zipfile
+from collections.abc import Iterable, Iterator
 from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+_LIBC = ctypes.CDLL(None)
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,6 +104,21 @@ def rank_within(df: DataFrame, group: list[str], order: list[Column], cells: lis
     return out.select(*df.columns, name)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` at most, so that what is made of long texts stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(_LIBC, "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit values."""
     x = x ^ (x >> np.uint64(33))
@@ -131,7 +151,7 @@ class Rolling:
     @classmethod
     def _powers(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls._up) <= n:
-            m = max(n + 1, 2 * len(cls._up))
+            m = 1 << (n + 1).bit_length()
             for name, base in (("_up", cls.BASE), ("_down", pow(cls.BASE, -1, 2**64))):
                 p = np.full(m, base, np.uint64)
                 p[0] = 1

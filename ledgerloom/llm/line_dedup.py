@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import repeats
-from ledgerloom.llm.common import keyed_docs, parts_for
+from ledgerloom.llm.common import keyed_docs, parts_for, slices
 
 _ODD = 0x9E3779B97F4A7C15
 
@@ -131,7 +131,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = keyed_docs(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text, spans = b.column(1), b.column(3)
             n, gone, kept = [], [], []
             for i in range(b.num_rows):
@@ -160,7 +160,7 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text, spans = b.column(0), b.column(1)
             kept = []
             for i in range(b.num_rows):

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut
+from ledgerloom.llm.common import cut, give_back
 
 #: A null doc_id counts as the largest.
 NO_ID = np.iinfo(np.int64).max
@@ -63,7 +63,7 @@ class Records:
         self.cols, self.text, self.spans, self.size = [], [], [], 0
 
 
-def settled(r: Records, settle: Settle, batch: int = 2 << 20) -> Records:
+def settled(r: Records, settle: Settle, batch: int = 1 << 20) -> Records:
     """The records with what repeats among them settled: spans, and the records that are left.
 
     Only records are compared whose key another one has too, or that may repeat themselves; about
@@ -165,7 +165,7 @@ def hot_keys(sample: DataFrame, cutter: Cutter, parts: int, share: float = 0.15)
     return np.sort(np.array([r.k for r in found], np.int64))
 
 
-def deal(docs: DataFrame, cutter: Cutter, settle: Settle, part_of: Callable[[np.ndarray], np.ndarray], parts: int, hot: np.ndarray, flush: int = 24 << 20) -> DataFrame:
+def deal(docs: DataFrame, cutter: Cutter, settle: Settle, part_of: Callable[[np.ndarray], np.ndarray], parts: int, hot: np.ndarray, flush: int = 16 << 20) -> DataFrame:
     """Spans of ``docs`` (columns doc_id, text, th).
 
     ``cutter`` takes (doc_id, th, UTF-8 text) of a task's documents and adds records, yielding now and
@@ -188,6 +188,7 @@ def deal(docs: DataFrame, cutter: Cutter, settle: Settle, part_of: Callable[[np.
             part = np.where(is_hot(cols), (part + spread % min(parts, SPREAD)) % parts, part)
             if (b := _blocks(done, part, parts)) is not None:
                 yield b
+            give_back()
 
         r = Records()
         for _ in cutter(texts_of(batches), r):
@@ -210,6 +211,7 @@ def deal(docs: DataFrame, cutter: Cutter, settle: Settle, part_of: Callable[[np.
         done.cols, done.text = [[c[keep] for c in cols]], [done.text[i] for i in keep.tolist()]
         if (b := _blocks(done, home(done.cols[0]), parts)) is not None:
             yield b
+        give_back()
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, th, start, end in bucket(batches).spans:
@@ -219,6 +221,7 @@ def deal(docs: DataFrame, cutter: Cutter, settle: Settle, part_of: Callable[[np.
                     [pa.array(doc[s], mask=doc[s] == NO_ID), pa.array(th[s]), pa.array(start[s]), pa.array(end[s])],
                     ["doc_id", "th", "span_start", "span_end"],
                 )
+        give_back()
 
     sent = docs.select("doc_id", "text", "th").mapInArrow(send, BLOCKS)
     if len(hot):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import repeats, windows
-from ledgerloom.llm.common import keyed_docs, parts_for, ranges_to_mask
+from ledgerloom.llm.common import keyed_docs, parts_for, ranges_to_mask, slices
 
 
 def repeated_words(docs: DataFrame, window: int = 50, gram: int = 5, bucket_bytes: int = 8 << 20) -> DataFrame:
@@ -43,7 +43,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = keyed_docs(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text, spans = b.column(1), b.column(3)
             n, gone, kept = [], [], []
             for i in range(b.num_rows):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import repeats, windows
-from ledgerloom.llm.common import Rolling, keyed_docs, mask_to_ranges, parts_for, ranges_to_mask
+from ledgerloom.llm.common import Rolling, keyed_docs, mask_to_ranges, parts_for, ranges_to_mask, slices
 
 
 def multikey_sort(chunk: Callable[[np.ndarray, int], np.ndarray], n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table = keyed_docs(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text, spans = b.column(1), b.column(3)
             n, gone, runs, kept = [], [], [], []
             for i in range(b.num_rows):

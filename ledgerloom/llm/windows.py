@@ -19,7 +19,7 @@ from ledgerloom.llm.common import BYTE_CODES, Rolling, mask_to_ranges, sliding_m
 from ledgerloom.llm.repeats import LEAD, Records, Rest, Settle, Span, texts_of
 
 #: Symbols that are worked on at a time; longer texts are cut into overlapping pieces.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 TOP = np.uint64(1 << 63)
