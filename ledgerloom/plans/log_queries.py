@@ -402,7 +402,7 @@ def log_codex_sessions(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "requests", "input", "output", F.col("unpriced_requests").alias("unpriced"))
 
 
-@query("SELECT 0 AS requests, count(DISTINCT user_id) AS sessions FROM events")
+@query("SELECT 0::BIGINT AS requests, count(DISTINCT user_id) AS sessions FROM events")
 def log_copilot_spends_nothing(spark: SparkSession, d: str) -> DataFrame:
     report = R.summary(R.Books.open(T.logs(spark, d, "copilot")))
     return report["totals"].select("requests").crossJoin(report["health"].select(F.col("sessions_parsed").alias("sessions")))

@@ -68,7 +68,7 @@ def events_of(read: Logs) -> DataFrame:
     usage = [F.col(f"usage.{c}").alias(c) for c in EVENTS[8:15]]
     met = read.events.join(read.files.select("file_id", F.col("session_id").alias("file")), "file_id")
     return met.select(
-        "file", "line_no", "sub_seq", "kind", F.unix_micros("ts").alias("ts"), "request_id", "model", F.col("usage").isNotNull().alias("billed"), *usage,
+        "file", F.col("line_no").cast("long").alias("line_no"), F.col("sub_seq").cast("long").alias("sub_seq"), "kind", F.unix_micros("ts").alias("ts"), "request_id", "model", F.col("usage").isNotNull().alias("billed"), *usage,
         F.array_join(F.transform("tool_calls", lambda c: F.concat_ws("/", c["id"], c["name"], c["input_bytes"].cast("string"), c["server"])), ",").alias("tools"),
         "sidechain", F.col("content_summary").alias("summary"), F.col("content_chars").alias("chars"), "thinking_chars", "has_thinking", "tool_use_id",
         "attachment_kind", "item_count",
