@@ -13,12 +13,17 @@ from ledgerloom.functions import exprs as X
 FRACTIONS = (0.01, 0.05, 0.10, 0.25)
 
 
+def splitters(largest: str, cells: int = 64) -> Column:
+    """Values that cut rows into ``cells`` of like size, for ``head_sums``."""
+    return F.percentile_approx(largest, F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10_000))
+
+
 def head_sums(
-    rows: DataFrame, largest: str, order: list[Column], n: int, sums: dict[str, str], fractions: tuple[float, ...] = FRACTIONS, cells: int = 64
+    rows: DataFrame, largest: str, order: list[Column], n: int, sums: dict[str, str], fractions: tuple[float, ...] = FRACTIONS, found: list | None = None
 ) -> DataFrame:
     """For each fraction: how many rows it is (rounded up, 1 to n) and what the first so many sum to.
 
-    ``order`` begins with ``largest`` descending. Splitters of it cut the rows into ``cells``; cells
+    ``order`` begins with ``largest`` descending. Splitters of it (``found``, else looked for) cut the rows into cells; cells
     are summed where rows lie, and a head is its whole cells and the beginning of one more. Only the
     cells that a head ends in are sorted.
     """
@@ -27,7 +32,7 @@ def head_sums(
     schema = "fraction double, requests long, " + ", ".join(f"{k} {rows.select(F.sum(c)).dtypes[0][1]}" for k, c in sums.items())
     if not n:
         return spark.createDataFrame([], schema)
-    found = rows.agg(F.percentile_approx(largest, F.array(*[F.lit(i / cells) for i in range(1, cells)]), F.lit(10_000))).head()[0]
+    found = rows.agg(splitters(largest)).head()[0] if found is None else found
     bounds = F.array(*[F.lit(x) for x in sorted(set(found), reverse=True)])
     placed = rows.withColumn("_cell", F.size(F.filter(bounds, lambda b: b > F.col(largest))))
     per = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(k) for k, c in sums.items()]).orderBy("_cell").collect()

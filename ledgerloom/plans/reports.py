@@ -170,14 +170,14 @@ STORM = {"gap_s": 15, "least": 5}
 def anomalies(books: Books, top: int = 15, gap_s: int = STORM["gap_s"], least: int = STORM["least"]) -> Report:
     """Where spend is concentrated, the heaviest requests, and bursts of requests."""
     reqs = books.requests.withColumn("tokens", F.col("known_total")).withColumn("cost0", F.coalesce("micro_usd", F.lit(0)))
-    totals = reqs.agg(
+    sums = [
         F.count(F.lit(1)).alias("requests"), X.zero(F.sum("tokens")).alias("tokens"), F.coalesce(usd(F.sum("micro_usd")), F.lit(0.0)).alias("cost_usd"),
         F.coalesce(F.bool_or(F.col("micro_usd").isNull()), F.lit(False)).alias("any_unpriced"),
-    )
-    t = totals.head()
+    ]
+    totals, t = reqs.agg(*sums), reqs.agg(*sums, ranking.splitters("tokens").alias("splitters")).head()
     order = [F.desc("tokens"), F.desc("cost0"), F.asc("session_id"), F.asc_nulls_first("request_id"), F.asc("file_id"), F.asc("first_seq")]
     tokens, cost = F.lit(t.tokens), F.lit(t.cost_usd)
-    head = ranking.head_sums(reqs, "tokens", order, t.requests, {"tokens": "tokens", "micro": "micro_usd"})
+    head = ranking.head_sums(reqs, "tokens", order, t.requests, {"tokens": "tokens", "micro": "micro_usd"}, found=t.splitters)
     concentration = head.select(
         "fraction", "requests", "tokens", F.coalesce(usd(F.col("micro")), F.lit(0.0)).alias("cost_usd"), X.share(F.col("tokens"), tokens).alias("token_share"),
         X.share_or_null(F.coalesce(usd(F.col("micro")), F.lit(0.0)), cost).alias("cost_share"),
