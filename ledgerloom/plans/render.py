@@ -27,7 +27,7 @@ def _plain(x: object) -> object:
     if isinstance(x, (list, tuple)):
         return [_plain(v) for v in x]
     if isinstance(x, dt.datetime):
-        return x.isoformat() + "Z"
+        return x.astimezone(dt.UTC).replace(tzinfo=None).isoformat() + "Z"  # rows come in the driver's own time zone
     if isinstance(x, dt.date):
         return x.isoformat()
     return float(x) if isinstance(x, decimal.Decimal) else x
