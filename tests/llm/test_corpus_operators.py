@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -257,6 +258,24 @@ def test_nearest_compares_fewer_than_all(n, clustered):
     assert seen.mean() >= 0.9 and compared < (0.4 if clustered else 0.95) * n
 
 
+def test_nearest_is_fitted_in_little_memory():
+    """What the driver holds does not grow with queries times cells; the sample stands for a table of any length."""
+    x = np.random.default_rng(4).standard_normal((2000, 16))
+    tracemalloc.start()
+    index = nearest.fit(x, 600_000, np.sqrt((x * x).sum(1)).max(), 20, 1, 8, 1024, 0.94, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < index.share < 1 and peak < 200 << 20
+
+
+def test_nearest_with_an_id_that_fills_a_block():
+    """An id that repeats more often than a query has neighbours leaves room for the others."""
+    x = np.random.default_rng(5).standard_normal((60, 8))
+    m, ids = np.concatenate([x, np.repeat(9 * x[:1], 40, axis=0)]), np.concatenate([np.arange(60), np.full(40, 61)])
+    query, vec, score = nearest._block(x[:1], np.zeros(1, np.int64), m, ids, np.full(1, -np.inf), 20, 39)
+    assert query.tolist() == [0] * 20 and vec.tolist() == [61, *(1 + np.argsort(-(x[1:] @ x[0])))[:19].tolist()]
+
+
 def test_nearest_with_clashing_names_repeated_ids_and_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((300, 8))
