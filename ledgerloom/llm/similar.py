@@ -11,6 +11,8 @@ a similarity of ``least`` meets in one of the tries with a probability of ``reca
 Of the pairs that a bucket finds, it returns a few minimum spanning forests by distance of the whole
 fingerprints. Those edges are then compared exactly, set by set, and components follow from the ones that
 hold. So no two texts are linked that aren't similar enough, and a group of copies never shows as pairs.
+Buckets that left pairs out are joined once more: of those, every pair between different components is
+compared exactly as well. So each pair that meets is compared, or lies in one component.
 """
 
 from __future__ import annotations
@@ -100,23 +102,23 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
         label = local_roots(n, label[i[new]], label[j[new]])[label]
 
 
-def _forests(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, times: int = FORESTS) -> np.ndarray:
-    """The edges of a minimum spanning forest, of another one among the rest, and so on."""
+def _forests(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray, times: int = FORESTS) -> tuple[np.ndarray, bool]:
+    """The edges of a minimum spanning forest, of another one among the rest, and so on; and whether some are left over."""
     _, rest = np.unique(i * n + j, return_index=True)
     taken = [rest[:0]]
     for _ in range(times):
         f = _forest(n, i[rest], j[rest], d[rest])
         taken.append(rest[f])
         rest = np.delete(rest, f)
-    return np.concatenate(taken)
+    return np.concatenate(taken), len(rest) > 0
 
 
 def _apart(wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64)
 
 
-def _bucket(below: np.ndarray, wide: np.ndarray, size: np.ndarray, tries: Tries, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forests of the near pairs of a bucket, by rows.
+def _bucket(below: np.ndarray, wide: np.ndarray, size: np.ndarray, tries: Tries, hold: int = 1_000_000) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Spanning forests of the near pairs of a bucket, by rows; and whether there may be more pairs.
 
     Neighbours in the order of the bits are compared first: node pairs of the trie that those which are
     near beyond doubt have joined already are not gone down into.
@@ -137,21 +139,25 @@ def _bucket(below: np.ndarray, wide: np.ndarray, size: np.ndarray, tries: Tries,
     close = held[0][2] <= tries.sure if held else np.zeros(0, bool)
     root = local_roots(n, held[0][0][close], held[0][1][close]) if close.any() else np.arange(n)
     changes = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))
+    more = False
 
     def joined(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
-        return (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (root[al] == root[bl]) & ((ah > al + 1) | (bh > bl + 1))
+        nonlocal more
+        hit = (changes[ah - 1] == changes[al]) & (changes[bh - 1] == changes[bl]) & (root[al] == root[bl]) & ((ah > al + 1) | (bh > bl + 1))
+        more = more or bool((hit & (np.maximum(ah, bh) - np.minimum(al, bl) > 5)).any())  # nearer neighbours have been compared
+        return hit
 
     for i, j in traverse(below, below, True, ERRORS, BELOW, True, joined):
         held.append(near(i, j))
         if sum(len(x[0]) for x in held) > hold:
             i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            f = _forests(n, i, j, d)
-            held = [(i[f], j[f], d[f])]
+            f, over = _forests(n, i, j, d)
+            held, more = [(i[f], j[f], d[f])], more or over
     if not held:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), more
     i, j, d = (np.concatenate(x) for x in zip(*held, strict=True))
-    f = _forests(n, i, j, d)
-    return order[i[f]], order[j[f]]
+    f, over = _forests(n, i, j, d)
+    return order[i[f]], order[j[f]], more or over
 
 
 def _sketches(docs: DataFrame, shingle: int) -> DataFrame:
@@ -198,6 +204,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 _ROWS = "bucket long, s long, n long, below long, wide binary"
+_FOUND = "u long, v long, bucket long, c long"
 
 
 def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -213,13 +220,8 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         yield bucket[mine], s[mine], n[mine], below[mine].view(np.uint64), wide[mine]
 
 
-def near_pairs(nodes: DataFrame, least: float, recall: float = 0.99, bucket_rows: int = 16384) -> DataFrame:
-    """Candidate edges (u, v) over ``nodes`` (s, n, wide), u < v.
-
-    A bucket with more than ``bucket_rows`` rows is dealt over several tasks first. There a row that is near another
-    one beyond doubt is linked to it and goes; the others, and one of each such group, meet in the bucket.
-    """
-    tries = Tries(nodes.count(), least, recall)
+def _dealt(nodes: DataFrame, tries: Tries) -> DataFrame:
+    """A row of ``nodes`` for each bucket that it lies in."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,6 +229,21 @@ def near_pairs(nodes: DataFrame, least: float, recall: float = 0.99, bucket_rows
             for bucket, below in zip(*tries.deal(wide), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0), b.column(1), pa.array(below), b.column(2)], ["bucket", "s", "n", "below", "wide"])
 
+    return nodes.select("s", "n", "wide").mapInArrow(deal, _ROWS)
+
+
+def _parts(nodes: DataFrame, tries: Tries) -> int:
+    return max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), tries.tables * 2**tries.deep // 256)
+
+
+def near_pairs(nodes: DataFrame, tries: Tries, bucket_rows: int) -> DataFrame:
+    """Candidate edges (u, v) over ``nodes`` (s, n, wide), u < v; and, with u and v null, each ``bucket`` of ``c`` rows
+    that may hold more of them.
+
+    A bucket with more than ``bucket_rows`` rows is dealt over several tasks first. There a row that is near another
+    one beyond doubt is linked to it and goes; the others, and one of each such group, meet in the bucket.
+    """
+
     def absorb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, s, n, below, wide in _columns(batches):
             rest, into = np.arange(len(s)), np.full(len(s), -1)
@@ -234,7 +251,7 @@ def near_pairs(nodes: DataFrame, least: float, recall: float = 0.99, bucket_rows
                 if not len(rest):
                     break
                 pivot, others = rest[0], rest[1:]
-                fits = np.minimum(n[others], n[pivot]) >= np.maximum(n[others], n[pivot]) * (least - 1e-9)
+                fits = np.minimum(n[others], n[pivot]) >= np.maximum(n[others], n[pivot]) * (tries.least - 1e-9)
                 close = fits & (np.bitwise_count(wide[others] ^ wide[pivot]).sum(1, dtype=np.int64) <= tries.sure)
                 into[others[close]] = pivot
                 rest = others[~close]
@@ -244,10 +261,13 @@ def near_pairs(nodes: DataFrame, least: float, recall: float = 0.99, bucket_rows
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, s, n, below, wide in _columns(batches):
+        for bucket, s, n, below, wide in _columns(batches):
             if len(s) > 1:
-                i, j = _bucket(below, wide, n, tries)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j]))], ["u", "v"])
+                i, j, more = _bucket(below, wide, n, tries)
+                none, end = pa.nulls(len(i), pa.int64()), pa.array([None] * more, pa.int64())
+                cols = [pa.array(np.minimum(s[i], s[j])), pa.array(np.maximum(s[i], s[j])), none, none]
+                ends = [end, end, pa.array(bucket[:more]), pa.array([len(s)] * more, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(cols, ends, strict=True)], ["u", "v", "bucket", "c"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -255,22 +275,76 @@ def near_pairs(nodes: DataFrame, least: float, recall: float = 0.99, bucket_rows
             bucket, c = np.unique(tries.deal(wide)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c.astype(np.int64))], ["hb", "c"])
 
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), tries.tables * 2**tries.deep // 256)
-    dealt = nodes.select("s", "n", "wide").mapInArrow(deal, _ROWS)
+    parts, dealt = _parts(nodes, tries), _dealt(nodes, tries)
     hot = cut(nodes.select("wide").mapInArrow(count, "hb long, c long").groupBy("hb").agg(F.sum("c").alias("c")).where(F.col("c") > bucket_rows))
     if hot.isEmpty():
-        return dealt.repartition(parts, "bucket").mapInArrow(meet, "u long, v long").distinct()
+        return dealt.repartition(parts, "bucket").mapInArrow(meet, _FOUND).distinct()
     marked = dealt.join(hot, F.col("bucket") == F.col("hb"), "left")
     cell = F.pmod(F.xxhash64("s"), F.ceil(F.col("c") / bucket_rows))
     done = marked.where("hb IS NOT NULL").repartition(parts, "bucket", cell).select("bucket", "s", "n", "below", "wide")
     done = cut(done.mapInArrow(absorb, f"{_ROWS}, into long"))
     names = ["bucket", "s", "n", "below", "wide"]
     rest = marked.where("hb IS NULL").select(names).unionByName(done.where("into IS NULL").select(names))
-    edges = done.where("into IS NOT NULL").select(F.least("s", "into").alias("u"), F.greatest("s", "into").alias("v"))
-    return rest.repartition(parts, "bucket").mapInArrow(meet, "u long, v long").unionByName(edges).distinct()
+    edges = done.where("into IS NOT NULL").select(F.least("s", "into").alias("u"), F.greatest("s", "into").alias("v"), F.lit(None).cast("long"), F.lit(None).cast("long"))
+    found = rest.repartition(parts, "bucket").mapInArrow(meet, _FOUND).join(hot.select("hb"), F.col("bucket") == F.col("hb"), "left_anti")
+    whole = hot.select(F.lit(None).cast("long"), F.lit(None).cast("long"), "hb", "c")
+    return found.union(edges).union(whole).distinct()
+
 
+def pairs_between(nodes: DataFrame, buckets: DataFrame, tries: Tries, bucket_rows: int) -> DataFrame:
+    """All candidate pairs (u, v), u < v, of ``buckets`` (b, c: rows) whose rows of ``nodes`` (s, n, wide, root) have different roots.
 
-def linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, **options) -> DataFrame:
+    A bucket with more than ``bucket_rows`` rows is dealt to cells; each two cells, and each by itself, are a task's work.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got).combine_chunks()
+        del got
+        key = np.column_stack([table.column(i).to_numpy() for i in range(3)])
+        cell, s, n, below, root = (table.column(i).to_numpy() for i in range(3, 8))
+        wide = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, WORDS)
+        below = below.view(np.uint64)
+        o = np.lexsort((below, key[:, 2], key[:, 1], key[:, 0]))
+        for mine in np.split(o, np.flatnonzero((np.diff(key[o], axis=0) != 0).any(1)) + 1):
+            names, counts = np.unique(root[mine], return_counts=True)
+            rest = root[mine] != names[counts.argmax()]  # the largest component has no pairs with itself to show
+            if not rest.any():
+                continue
+            one, other = key[mine[0], 1:]
+            if one == other:
+                work = [(mine[~rest], mine[rest], False), (mine[rest], mine[rest], True)]
+            else:
+                left, right = cell[mine] == one, cell[mine] == other
+                work = [(mine[left & rest], mine[right], False), (mine[left & ~rest], mine[right & rest], False)]
+            for a, b, same in work:
+                if not len(a) or not len(b):
+                    continue
+                for i, j in traverse(below[a], below[b], same, ERRORS, BELOW, True):
+                    i, j = a[i], b[j]
+                    i, j = (x[root[i] != root[j]] for x in (i, j))
+                    fits = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * (tries.least - 1e-9)
+                    i, j = i[fits], j[fits]
+                    near = _apart(wide, i, j) <= tries.most
+                    u, v = s[i[near]], s[j[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    if buckets.count() <= 100_000:
+        buckets = F.broadcast(buckets)
+    dealt = _dealt(nodes, tries).join(buckets, F.col("bucket") == F.col("b"))
+    cells = F.ceil(F.col("c") / bucket_rows)
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("s"), cells)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    dealt = dealt.select("bucket", F.least("cell", "to").alias("one"), F.greatest("cell", "to").alias("other"), "cell", "s", "n", "below", "wide")
+    roots = nodes.select(F.col("s").alias("rs"), "root")
+    dealt = dealt.join(roots, F.col("s") == F.col("rs")).select("bucket", "one", "other", "cell", "s", "n", "below", "root", "wide")
+    return dealt.repartition(_parts(nodes, tries), "bucket", "one", "other").mapInArrow(run, "u long, v long").distinct()
+
+
+def linked(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float = 0.99, bucket_rows: int = 16384
+) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``th`` (hash of the text), ``root`` (its component).
 
     Two rows are linked if their sets of shingles have a Jaccard similarity of ``least`` or more.
@@ -280,11 +354,23 @@ def linked(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: flo
     texts = keyed_docs(docs, id_col, text_col)
     table = cut(_sketches(texts, shingle))
     nodes = cut(table.groupBy("s").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "th")).alias("k")))
-    pairs = cut(near_pairs(nodes, least, **options).where("u <> v"))
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct()
-    one = cut(nodes.join(ends, F.col("s") == F.col("e"), "left_semi").select("s", F.col("k.doc_id").alias("d"), F.col("k.th").alias("t")))
-    sets = cut(_sets(texts.join(one, texts.doc_id.eqNullSafe(F.col("d")) & texts.th.eqNullSafe(F.col("t"))).select("s", "text").dropDuplicates(["s"]), shingle))
-    roots = components(_verified(pairs, sets, least))
+    tries = Tries(nodes.count(), least, recall)
+
+    def hold(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct()
+        one = cut(nodes.join(ends, F.col("s") == F.col("e"), "left_semi").select("s", F.col("k.doc_id").alias("d"), F.col("k.th").alias("t")))
+        sets = cut(_sets(texts.join(one, texts.doc_id.eqNullSafe(F.col("d")) & texts.th.eqNullSafe(F.col("t"))).select("s", "text").dropDuplicates(["s"]), shingle))
+        return _verified(pairs, sets, least)
+
+    found = cut(near_pairs(nodes, tries, bucket_rows))
+    pairs = found.where("u <> v").select("u", "v")
+    roots = components(hold(pairs))
+    buckets = cut(found.where("u IS NULL").select(F.col("bucket").alias("b"), "c"))
+    if not buckets.isEmpty():
+        known = cut(nodes.join(roots, nodes.s == roots.v, "left").select("s", "n", "wide", F.coalesce("root", "s").alias("root")))
+        rest = cut(pairs_between(known, buckets, tries, bucket_rows).join(pairs, ["u", "v"], "left_anti"))
+        if not rest.isEmpty():
+            roots = components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(hold(rest)))
     return table.join(roots, table.s == roots.v, "left").select("doc_id", "th", F.coalesce("root", "s").alias("root"))
 
 

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 from ledgerloom.llm import similar
 from ledgerloom.llm.components import local_roots
 
@@ -87,3 +88,17 @@ def test_pairs_meet_with_the_promised_probability():
         met += any(b[0] == b[1] and bin(int(e[0] ^ e[1]) & (2**64 - 1)).count("1") <= similar.ERRORS for b, e in zip(bucket, below, strict=True))
         met_all += int(np.bitwise_count(wide[0] ^ wide[1]).sum()) <= tries.most
     assert met >= 0.97 * 300 and met_all >= 0.98 * 300
+
+
+@pytest.mark.parametrize("bucket_rows", [16384, 40])
+def test_no_link_is_lost_in_a_group_that_is_barely_alike(spark, bucket_rows):
+    """Most near pairs of a bucket aren't similar enough, so forests of the nearest leave out many that are."""
+    rng = random.Random(1)
+    base = words(rng, 200)
+    texts = [edited(rng, base, rng.choice([3, 4, 5])) for _ in range(150)]
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(150) for b in range(a) if alike(sets[a], sets[b]) >= 0.8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    root = {r.doc_id: r.root for r in similar.linked(docs, "doc_id", "text", 5, 0.8, bucket_rows=bucket_rows).collect()}
+    true = local_roots(150, *np.array(links).T)
+    assert links and all((root[a] == root[b]) == (true[a] == true[b]) for a in range(150) for b in range(a))
