@@ -12,7 +12,9 @@ Of the pairs that a bucket finds, it returns a few minimum spanning forests by d
 fingerprints. Those edges are then compared exactly, set by set, and components follow from the ones that
 hold. So no two texts are linked that aren't similar enough, and a group of copies never shows as pairs.
 Buckets that left pairs out are joined once more: of those, every pair between different components is
-compared exactly as well. So each pair that meets is compared, or lies in one component.
+compared exactly as well, in the task where it meets and in the first of the tries where it does. Rows with such
+a pair bring their sets, and tasks return what links components: rows, never pairs. So each pair that meets is
+compared, or lies in one component.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, keyed_docs, mix64
@@ -76,13 +78,35 @@ class Tries:
 
     def deal(self, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(tables, rows): bucket, and the bits below it at the top of a number."""
-        bits = np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1).astype(np.uint64)
-        bucket, below = np.empty((self.tables, len(wide)), np.int64), np.empty((self.tables, len(wide)), np.int64)
-        for t, at in enumerate(self.bits):
-            value = (bits[:, at] << np.arange(len(at) - 1, -1, -1).astype(np.uint64)).sum(1, dtype=np.uint64)
-            bucket[t] = t * 2**self.deep + (value >> np.uint64(BELOW)).astype(np.int64)
-            below[t] = (value << np.uint64(64 - BELOW)).view(np.int64)
-        return bucket, below
+        bits, bucket, below = self._unpacked(wide), [], []
+        for t in range(self.tables):
+            value = self._value(bits, t)
+            bucket.append(t * 2**self.deep + (value >> np.uint64(BELOW)).astype(np.int64))
+            below.append((value << np.uint64(64 - BELOW)).view(np.int64))
+        return np.array(bucket), np.array(below)
+
+    def first(self, wide: np.ndarray, i: np.ndarray, j: np.ndarray, table: int) -> np.ndarray:
+        """Which of the pairs (i, j) of rows of ``wide`` meet in none of the tries before ``table``."""
+        left = np.arange(len(i))
+        ends, at = np.unique(np.concatenate((i, j)), return_inverse=True)
+        a, b = at[: len(i)], at[len(i):]
+        bits = self._unpacked(wide[ends])
+        for t in range(table):
+            if not len(left):
+                break
+            value = self._value(bits, t)
+            differ = value[a[left]] ^ value[b[left]]
+            left = left[(differ >> np.uint64(BELOW) != 0) | (np.bitwise_count(differ) > ERRORS)]
+        return left
+
+    @staticmethod
+    def _unpacked(wide: np.ndarray) -> np.ndarray:
+        return np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1).astype(np.uint64)
+
+    def _value(self, bits: np.ndarray, t: int) -> np.ndarray:
+        """The bucket's bits and those below it in one number."""
+        at = self.bits[t]
+        return (bits[:, at] << np.arange(len(at) - 1, -1, -1).astype(np.uint64)).sum(1, dtype=np.uint64)
 
 
 def _forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -291,8 +315,56 @@ def near_pairs(nodes: DataFrame, tries: Tries, bucket_rows: int) -> DataFrame:
     return found.union(edges).union(whole).distinct()
 
 
-def pairs_between(nodes: DataFrame, buckets: DataFrame, tries: Tries, bucket_rows: int) -> DataFrame:
-    """All candidate pairs (u, v), u < v, of ``buckets`` (b, c: rows) whose rows of ``nodes`` (s, n, wide, root) have different roots.
+_CELLS = "bucket long, one long, other long, cell long, s long, n long, below long, root long, wide binary"
+_ENDS = "bucket long, s long, n long, below long, root long, wide binary"
+
+
+def _celled(rows: DataFrame, cells: Column) -> DataFrame:
+    """``rows``, each for every pair (``one``, ``other``) of its bucket's cells that its own ``cell`` is in."""
+    dealt = rows.withColumn("cell", F.pmod(F.xxhash64("s"), cells)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
+    return dealt.withColumn("one", F.least("cell", "to")).withColumn("other", F.greatest("cell", "to"))
+
+
+def _meetings(table: pa.Table, tries: Tries) -> Iterator[tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """For each pair of cells in a ``table`` (columns of ``_CELLS``): its rows, and the pairs of them, in blocks, that have different
+    roots, may be similar enough and meet in no trie before this one."""
+    key = np.column_stack([table.column(i).to_numpy() for i in range(3)])
+    cell, _, n, below, root = (table.column(i).to_numpy() for i in range(3, 8))
+    wide = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, WORDS)
+    below = below.view(np.uint64)
+
+    def pairs(bucket: int, work: list[tuple[np.ndarray, np.ndarray, bool]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b, same in work:
+            if not len(a) or not len(b):
+                continue
+            for i, j in traverse(below[a], below[b], same, ERRORS, BELOW, True):
+                i, j = a[i], b[j]
+                i, j = (x[root[i] != root[j]] for x in (i, j))
+                fits = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * (tries.least - 1e-9)
+                i, j = i[fits], j[fits]
+                near = _apart(wide, i, j) <= tries.most
+                i, j = i[near], j[near]
+                if len(i):
+                    here = tries.first(wide, i, j, bucket >> tries.deep)
+                    yield i[here], j[here]
+
+    o = np.lexsort((below, key[:, 2], key[:, 1], key[:, 0]))
+    for mine in np.split(o, np.flatnonzero((np.diff(key[o], axis=0) != 0).any(1)) + 1):
+        names, counts = np.unique(root[mine], return_counts=True)
+        rest = root[mine] != names[counts.argmax()]  # the largest component has no pairs with itself to show
+        if not rest.any():
+            continue
+        bucket, one, other = key[mine[0]].tolist()
+        if one == other:
+            work = [(mine[~rest], mine[rest], False), (mine[rest], mine[rest], True)]
+        else:
+            left, right = cell[mine] == one, cell[mine] == other
+            work = [(mine[left & rest], mine[right], False), (mine[left & ~rest], mine[right & rest], False)]
+        yield mine, pairs(bucket, work)
+
+
+def ends_between(nodes: DataFrame, buckets: DataFrame, tries: Tries, bucket_rows: int) -> DataFrame:
+    """The rows of ``nodes`` (s, n, wide, root) in ``buckets`` (b, c: rows) that have a candidate of another root there; one row a bucket.
 
     A bucket with more than ``bucket_rows`` rows is dealt to cells; each two cells, and each by itself, are a task's work.
     """
@@ -301,49 +373,94 @@ def pairs_between(nodes: DataFrame, buckets: DataFrame, tries: Tries, bucket_row
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        table = pa.Table.from_batches(got).combine_chunks()
+        table = pa.Table.from_batches(got)
         del got
-        key = np.column_stack([table.column(i).to_numpy() for i in range(3)])
-        cell, s, n, below, root = (table.column(i).to_numpy() for i in range(3, 8))
-        wide = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, WORDS)
-        below = below.view(np.uint64)
-        o = np.lexsort((below, key[:, 2], key[:, 1], key[:, 0]))
-        for mine in np.split(o, np.flatnonzero((np.diff(key[o], axis=0) != 0).any(1)) + 1):
-            names, counts = np.unique(root[mine], return_counts=True)
-            rest = root[mine] != names[counts.argmax()]  # the largest component has no pairs with itself to show
-            if not rest.any():
-                continue
-            one, other = key[mine[0], 1:]
-            if one == other:
-                work = [(mine[~rest], mine[rest], False), (mine[rest], mine[rest], True)]
-            else:
-                left, right = cell[mine] == one, cell[mine] == other
-                work = [(mine[left & rest], mine[right], False), (mine[left & ~rest], mine[right & rest], False)]
-            for a, b, same in work:
-                if not len(a) or not len(b):
-                    continue
-                for i, j in traverse(below[a], below[b], same, ERRORS, BELOW, True):
-                    i, j = a[i], b[j]
-                    i, j = (x[root[i] != root[j]] for x in (i, j))
-                    fits = np.minimum(n[i], n[j]) >= np.maximum(n[i], n[j]) * (tries.least - 1e-9)
-                    i, j = i[fits], j[fits]
-                    near = _apart(wide, i, j) <= tries.most
-                    u, v = s[i[near]], s[j[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        hit = np.zeros(table.num_rows, bool)
+        for _, pairs in _meetings(table, tries):
+            for i, j in pairs:
+                hit[i] = hit[j] = True
+        yield from table.select(["bucket", "s", "n", "below", "root", "wide"]).filter(pa.array(hit)).to_batches()
 
     if buckets.count() <= 100_000:
         buckets = F.broadcast(buckets)
-    dealt = _dealt(nodes, tries).join(buckets, F.col("bucket") == F.col("b"))
-    cells = F.ceil(F.col("c") / bucket_rows)
-    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("s"), cells)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1)))
-    dealt = dealt.select("bucket", F.least("cell", "to").alias("one"), F.greatest("cell", "to").alias("other"), "cell", "s", "n", "below", "wide")
+    dealt = _celled(_dealt(nodes, tries).join(buckets, F.col("bucket") == F.col("b")), F.ceil(F.col("c") / bucket_rows))
+    dealt = dealt.select("bucket", "one", "other", "cell", "s", "n", "below", "wide")
     roots = nodes.select(F.col("s").alias("rs"), "root")
     dealt = dealt.join(roots, F.col("s") == F.col("rs")).select("bucket", "one", "other", "cell", "s", "n", "below", "root", "wide")
-    return dealt.repartition(_parts(nodes, tries), "bucket", "one", "other").mapInArrow(run, "u long, v long").distinct()
+    return dealt.repartition(_parts(nodes, tries), "bucket", "one", "other").mapInArrow(run, _ENDS).dropDuplicates(["bucket", "s"])
+
+
+def _joining(sets: list[np.ndarray], root: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], least: float) -> Iterator[tuple[int, int]]:
+    """Those of the similar ``pairs`` that join components: rows' ``root`` at first, and what the ones before have joined."""
+    label = np.unique(root, return_inverse=True)[1]
+    size = np.array([len(x) for x in sets])
+    names, number = np.unique(np.concatenate(sets), return_inverse=True)
+    number = np.split(number.astype(np.int32), np.cumsum(size)[:-1])
+    mark = np.zeros(len(names), bool)
+    for i, j in pairs:
+        o = np.argsort(i, kind="stable")
+        i, j = i[o], j[o]
+        for lo, hi in zip(*(x.tolist() for x in _runs(i)), strict=True):
+            one = int(i[lo])
+            apart = j[lo:hi]
+            apart = apart[label[apart] != label[one]]
+            if not len(apart):
+                continue
+            mark[number[one]] = True
+            for x in np.split(apart, np.flatnonzero(np.diff(np.cumsum(size[apart]) >> 20)) + 1):
+                x = x[label[x] != label[one]]
+                if not len(x):
+                    continue
+                both = np.add.reduceat(mark[np.concatenate([number[k] for k in x])], np.cumsum(size[x]) - size[x], dtype=np.int64)
+                like = x[both / (size[one] + size[x] - both) >= least]
+                new, at = np.unique(label[like], return_index=True)
+                if len(new):
+                    yield from ((one, int(k)) for k in like[at])
+                    label[np.isin(label, new)] = label[one]
+            mark[number[one]] = False
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal values start and end."""
+    at = np.flatnonzero(np.diff(x)) + 1
+    return np.concatenate(([0], at)) if len(x) else at, np.concatenate((at, [len(x)])) if len(x) else at
+
+
+def links_between(ends: DataFrame, sets: DataFrame, tries: Tries, cell_grams: int) -> DataFrame:
+    """Links (u, v) that join all components of ``ends`` (columns of ``_ENDS``) between which a candidate pair is similar enough.
+
+    ``sets`` has ``s`` and ``grams``. A bucket whose sets have more than ``cell_grams`` members is dealt to cells, as in ``ends_between``.
+    A task returns a spanning forest of what it finds, so no more rows than it holds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got)
+        del got
+        s, root = table.column("s").to_numpy(), table.column("root").to_numpy()
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
+        row = np.full(len(s), -1)
+        for mine, pairs in _meetings(table, tries):
+            row[mine] = np.arange(len(mine))
+            near = ((row[i], row[j]) for i, j in pairs)
+            found = np.array(list(_joining([grams[k] for k in mine], root[mine], near, tries.least)), np.int64).reshape(-1, 2)
+            u, v = s[mine[found[:, 0]]], s[mine[found[:, 1]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    cells = cut(ends.groupBy(F.col("bucket").alias("b")).agg(F.sum("n").alias("size")).withColumn("cells", F.ceil(F.col("size") / cell_grams)))
+    total = cells.agg(F.sum(F.col("size") * F.col("cells"))).head()[0] or 0
+    parts = max(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // cell_grams)
+    dealt = _celled(ends.join(cells.select("b", "cells"), F.col("bucket") == F.col("b")), F.greatest("cells", F.lit(1)))
+    grams = sets.select(F.col("s").alias("gs"), "grams")
+    dealt = dealt.join(grams, F.col("s") == F.col("gs")).select("bucket", "one", "other", "cell", "s", "n", "below", "root", "wide", "grams")
+    return dealt.repartition(int(parts), "bucket", "one", "other").mapInArrow(run, "u long, v long").distinct()
 
 
 def linked(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float = 0.99, bucket_rows: int = 16384
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, least: float, recall: float = 0.99, bucket_rows: int = 16384,
+    cell_grams: int = 1 << 21,
 ) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``th`` (hash of the text), ``root`` (its component).
 
@@ -356,21 +473,20 @@ def linked(
     nodes = cut(table.groupBy("s").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "th")).alias("k")))
     tries = Tries(nodes.count(), least, recall)
 
-    def hold(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct()
+    def sets(ends: DataFrame) -> DataFrame:
         one = cut(nodes.join(ends, F.col("s") == F.col("e"), "left_semi").select("s", F.col("k.doc_id").alias("d"), F.col("k.th").alias("t")))
-        sets = cut(_sets(texts.join(one, texts.doc_id.eqNullSafe(F.col("d")) & texts.th.eqNullSafe(F.col("t"))).select("s", "text").dropDuplicates(["s"]), shingle))
-        return _verified(pairs, sets, least)
+        return cut(_sets(texts.join(one, texts.doc_id.eqNullSafe(F.col("d")) & texts.th.eqNullSafe(F.col("t"))).select("s", "text").dropDuplicates(["s"]), shingle))
 
     found = cut(near_pairs(nodes, tries, bucket_rows))
     pairs = found.where("u <> v").select("u", "v")
-    roots = components(hold(pairs))
+    roots = components(_verified(pairs, sets(pairs.select(F.explode(F.array("u", "v")).alias("e")).distinct()), least))
     buckets = cut(found.where("u IS NULL").select(F.col("bucket").alias("b"), "c"))
     if not buckets.isEmpty():
         known = cut(nodes.join(roots, nodes.s == roots.v, "left").select("s", "n", "wide", F.coalesce("root", "s").alias("root")))
-        rest = cut(pairs_between(known, buckets, tries, bucket_rows).join(pairs, ["u", "v"], "left_anti"))
-        if not rest.isEmpty():
-            roots = components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(hold(rest)))
+        ends = cut(ends_between(known, buckets, tries, bucket_rows))
+        if not ends.isEmpty():
+            more = links_between(ends, sets(ends.select(F.col("s").alias("e")).distinct()), tries, cell_grams)
+            roots = components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more))
     return table.join(roots, table.s == roots.v, "left").select("doc_id", "th", F.coalesce("root", "s").alias("root"))
 
 

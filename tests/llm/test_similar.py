@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
-from ledgerloom.llm import similar
+from ledgerloom.llm import common, components, similar
 from ledgerloom.llm.components import local_roots
 
 from llm.conftest import words
@@ -102,3 +102,40 @@ def test_no_link_is_lost_in_a_group_that_is_barely_alike(spark, bucket_rows):
     root = {r.doc_id: r.root for r in similar.linked(docs, "doc_id", "text", 5, 0.8, bucket_rows=bucket_rows).collect()}
     true = local_roots(150, *np.array(links).T)
     assert links and all((root[a] == root[b]) == (true[a] == true[b]) for a in range(150) for b in range(a))
+
+
+@pytest.mark.parametrize("limits", [{}, {"bucket_rows": 70, "cell_grams": 6000}])
+def test_rows_grow_with_the_group_and_not_with_its_pairs(spark, monkeypatch, limits):
+    """A group that is barely alike has very many candidates; no table is made of them, and no link is lost."""
+    rng, n, made = random.Random(2), 300, []
+
+    def counted(df):
+        made.append((out := common.cut(df)).count())
+        return out
+
+    for module in (similar, components):
+        monkeypatch.setattr(module, "cut", counted)
+    base = words(rng, 200)
+    texts = [edited(rng, base, rng.choice([3, 4, 5, 6])) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    root = {r.doc_id: r.root for r in similar.linked(docs, "doc_id", "text", 5, 0.8, **limits).collect()}
+    sets = [shingles(t) for t in texts]
+    links = [(a, b) for a in range(n) for b in range(a) if alike(sets[a], sets[b]) >= 0.8]
+    true = local_roots(n, *np.array(links).T)
+    assert 10 < len(set(true.tolist())) < n and all((root[a] == root[b]) == (true[a] == true[b]) for a in range(n) for b in range(a))
+    assert max(made) <= similar.FORESTS * similar.Tries(n, 0.8, 0.99).tables * n < n * (n - 1) / 5
+
+
+def test_pairs_join_only_what_is_similar_and_apart():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(40) < 0.93], rng.integers(0, 2**63, 2, dtype=np.uint64)])) for _ in range(60)]
+    root = np.where(np.arange(60) < 20, 7, np.arange(60) + 100)
+    i, j = np.triu_indices(60, 1)
+    o = rng.permutation(len(i))
+    got = np.array(list(similar._joining(sets, root, iter([(i[o[:900]], j[o[:900]]), (i[o[900:]], j[o[900:]])]), 0.8)))
+    like = np.array([similar.jaccard(sets[a], sets[b]) >= 0.8 for a, b in zip(i, j, strict=True)])
+    known = np.column_stack([np.zeros(20, int), np.arange(20)])
+    want = local_roots(60, *np.concatenate([known, np.column_stack([i[like], j[like]])]).T)
+    assert 0 < len(got) < 60 and all(similar.jaccard(sets[a], sets[b]) >= 0.8 for a, b in got)
+    assert (local_roots(60, *np.concatenate([known, got]).T) == want).all() and len(got) == 41 - len(set(want.tolist()))
